@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, minhash, mixing, quality
+from . import chat_format, length_buckets, line_dedup, minhash, mixing, quality, topk, toxicity
 from .common import load
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(load(spark, sf_dir, "documents"), weights=mixing.WEIGHTS)
 
@@ -22,6 +27,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(load(spark, sf_dir, "documents"))
 
 
+def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_buckets.pack_lengths(load(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(load(spark, sf_dir, "documents"))
 
@@ -30,12 +39,18 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op4_chat_format, op6_line_dedup, op8_quality_rules, op9_minhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op3_mix_sources, op4_chat_format, op6_line_dedup, op7_length_buckets, op8_quality_rules, op9_minhash_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_exact_topk": topk.ORACLE_SQL,
         "op3_mix_sources": mixing.ORACLE_SQL,
         "op4_chat_format": chat_format.ORACLE_SQL,
         "op6_line_dedup": line_dedup.ORACLE_SQL,
