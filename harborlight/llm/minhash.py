@@ -7,11 +7,12 @@ How the work stays linear and whole:
 
 1. Texts with equal shingle sets are one class (map-side combined), so copies cost nothing further.
 2. In every bucket each member is compared with the bucket's smallest member only.
-3. Confirmed links become components. Buckets whose members are still in several components are then compared blockwise:
-   signature sketches of two blocks meet in numpy, and only promising pairs of different components leave it. So every
-   pair that shares a bucket is either confirmed to be in one component or compared, and no bucket is capped.
-4. Candidates are filtered by set size and an 8-bit sketch of the signature (at similarity 0.75 the filter lies more than
+   These pairs are filtered by set size and an 8-bit sketch of the signature (at similarity 0.75 the filter lies more than
    five standard deviations below the mean), then confirmed exactly.
+3. Confirmed links become components. Buckets whose members are still in several components are then compared blockwise:
+   two blocks of full sets meet in one task, which counts all intersections and gives back only the links that join
+   components. So every pair that shares a bucket is either in one component or compared, no bucket is capped, and no
+   group gives back all its pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from .wordscan import mix64, texts, windows, words
 
 #: 64 permutations, 128 values, 32 bands of 4: a pair at 0.75 shares no bucket with probability 5e-6.
 PERMUTATIONS, BANDS = 64, 32
-BLOCK = 512
+#: Shingles of a block of a bucket, about.
+BLOCK = 200_000
 _rng = np.random.Generator(np.random.PCG64(9))
 _A = _rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
@@ -128,6 +130,28 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs, make, "id long, set binary")
 
 
+def narrowed(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The documents whose id is in ``needed``, without moving the texts of most others.
+
+    A bitmap of 2**24 hashed ids (2**18 words of 64 bits, so its size is fixed) is broadcast and lets through few others;
+    the exact semi-join sees only what is left. Where very many ids are needed it lets more through, and results stay equal.
+    """
+    needed = stored(needed)
+
+    def word(h):
+        return F.pmod(h, F.lit(1 << 18))
+
+    def bit(h):
+        return F.pmod(F.shiftright(h, 18), F.lit(64)).cast("int")
+
+    h = F.xxhash64("id")
+    one = F.lit(1).cast("long")
+    words_ = needed.groupBy(word(h).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", one, bit(h))).alias("__bits"))
+    likely = docs.withColumn("__word", word(h)).join(F.broadcast(words_), "__word")
+    likely = likely.filter(F.call_function("shiftright", F.col("__bits"), bit(h)).bitwiseAND(one) == 1)
+    return likely.select("id", "text").join(needed, "id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs whose full sets reach the similarity. Only texts of candidate pairs are read again."""
     percent = round(100 * similarity)
@@ -145,31 +169,56 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float)
         return one
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(_sets(docs.join(needed, "id", "left_semi").select("id", "text"), size))
+    sets = stored(_sets(narrowed(docs, needed), size))
     one = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
     return stored(map_arrow(both, make, "a long, b long").distinct())
 
 
-def _block_pairs(similarity: float):
-    """Pairs of different components between two blocks of one bucket, from rows sorted by block pair."""
-    least, percent = _least_matches(similarity), round(100 * similarity)
+def _block_links(similarity: float):
+    """Spanning links of different components between two blocks of one bucket, from rows sorted by block pair.
+
+    Intersections are counted exactly: a document's shingles walk the postings of the block, which gives its
+    intersection with all others at once. A pair is looked at in the smallest bucket it shares only.
+    """
+    percent = round(100 * similarity)
 
     def compare(t: pa.Table):
         side = t.column("side").to_numpy()
-        rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side == 1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(right):
             right = left
+        rep, comp, key = (t.column(c).to_numpy() for c in ("rep", "comp", "key"))
+        if (comp == comp[0]).all():
+            return
+        bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(right)), size[right])
+        flat = np.concatenate([sets[j] for j in right])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
         for i in left:
-            near = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if len(near):
-                near = near[(sk[near] == sk[i]).sum(1) >= least]
-                for j in near:
-                    yield min(rep[i], rep[j]), max(rep[i], rep[j])
+            if (comp[right] == comp[i]).all():
+                continue
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            near = np.flatnonzero((100 * both >= percent * (size[i] + size[right] - both)) & (comp[right] != comp[i]))
+            for j in right[near]:
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y and bands[i][bands[i] == bands[j]].min() == key[i]:
+                    joined[max(x, y)] = min(x, y)
+                    yield int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))
 
     def run(batches):
         kept: list[pa.Table] = []
@@ -197,24 +246,26 @@ def _block_pairs(similarity: float):
     return run
 
 
-def _across(shared: DataFrame, reps: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Likely pairs of different components that share a bucket, from buckets still in several components."""
-    placed = shared.join(labels, shared.rep == labels.id, "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
+def _across(shared: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links between different components that share a bucket, from buckets still in several components."""
+    placed = shared.join(labels, shared.rep == labels.id, "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("comp"))
     mixed = (
         placed.groupBy("key")
-        .agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         .filter("m > 2 and lo < hi")
-        .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        .select("key", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = placed.join(mixed, "key").join(reps.select("rep", "n", "sketch"), "rep")
+    rows = stored(placed.join(stored(mixed), "key").select("key", "rep", "comp", "blocks"))
+    needed = rows.select(F.col("rep").alias("id")).distinct()
+    sets = stored(_sets(narrowed(docs, needed), size)).withColumnRenamed("id", "rep")
+    rows = rows.join(reps.select("rep", "bands").join(sets, "rep"), "rep")
     mine = F.pmod(F.hash("rep"), F.col("blocks"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)).alias("block"), F.when(mine > other, 1).otherwise(0).alias("side")),
     )
-    rows = rows.select("rep", "comp", "n", "sketch", F.explode(pairs).alias("p")).select("p.block", "p.side", "rep", "comp", "n", "sketch")
-    rows = rows.repartition("block").sortWithinPartitions("block")
-    return rows.mapInArrow(_block_pairs(similarity), "a long, b long").distinct()
+    rows = rows.select("key", "rep", "comp", "bands", "set", F.explode(pairs).alias("p")).select("p.block", "p.side", "key", "rep", "comp", "bands", "set")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_block_links(similarity), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.75) -> DataFrame:
@@ -232,15 +283,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     feats = stored(map_arrow(plain, _features(size), FEATURES))
     full = feats.filter("n > 0")
     reps = stored(full.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    buckets = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = reps.select("rep", "n", F.explode("bands").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("key", "hub")
-    shared = stored(buckets.join(hubs, "key").select("key", "rep", "hub"))
+    shared = stored(buckets.join(hubs, "key").select("key", "rep", "n", "hub"))
     star = shared.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     links = _confirmed(stored(_likely(star, reps, similarity)), plain, size, similarity)
     labels = components(links)
-    more = stored(_across(shared, reps, labels, similarity))
-    if more.limit(1).count():
-        links = links.union(_confirmed(more, plain, size, similarity))
+    links = links.union(stored(_across(shared, reps, labels, plain, size, similarity)))
         # rows that repeat an id with another text join the versions
     versions = full.join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     if feats.groupBy("id").count().filter("count > 1").limit(1).count():
