@@ -11,7 +11,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, doc_key, in_row, pack_row, unpack_row
+from .common import WS_CHARS, doc_key, in_row, pack_row, stored, unpack_row
 
 
 def _trimmed(line: Column) -> Column:
@@ -43,7 +43,7 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         .withColumn("__line", ascii_lower(F.col("__line")))
         .select("__id", "__version", "__pos", F.xxhash64("__line").alias("__h1"), F.xxhash64(F.lit(7), "__line").alias("__h2"))
     )
-    common = (
+    common = stored(
         lines.groupBy("__h1", "__h2", "__id")
         .agg(F.lit(1).alias("__one"))
         .groupBy("__h1", "__h2")
