@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, length_buckets, line_dedup, minhash, mixing, quality, topk, toxicity
+import corpus_pipeline
+
+from . import chat_format, html_extract, length_buckets, line_dedup, minhash, mixing, pii, quality, topk, toxicity
 from .common import load
 
 
@@ -15,6 +17,10 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogate_digest(load(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(load(spark, sf_dir, "documents"), weights=mixing.WEIGHTS)
 
@@ -23,6 +29,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.with_probe(load(spark, sf_dir, "conversations")))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(load(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(load(spark, sf_dir, "documents"))
 
@@ -45,11 +55,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op3_mix_sources, op4_chat_format, op6_line_dedup, op7_length_buckets, op8_quality_rules, op9_minhash_dedup, op10_toxicity)}
+    named = {f.__name__: f for f in (op1_exact_topk, op2_pii_surrogates, op3_mix_sources, op4_chat_format, op5_html_extract, op6_line_dedup, op7_length_buckets, op8_quality_rules, op9_minhash_dedup, op10_toxicity)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    known = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return known | {
         "op1_exact_topk": topk.ORACLE_SQL,
         "op3_mix_sources": mixing.ORACLE_SQL,
         "op4_chat_format": chat_format.ORACLE_SQL,
