@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import domain, generic
+
 
 def queries():
-    return {}
+    return domain.QUERIES | generic.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return domain.ORACLES | generic.ORACLES
