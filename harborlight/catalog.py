@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import domain, generic
+from .plans import domain, generic, streams
 
 
 def queries():
-    return domain.QUERIES | generic.QUERIES
+    return domain.QUERIES | generic.QUERIES | streams.QUERIES
 
 
 def oracle_sql():
-    return domain.ORACLES | generic.ORACLES
+    return domain.ORACLES | generic.ORACLES | streams.ORACLES
