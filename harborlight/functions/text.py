@@ -29,7 +29,9 @@ def secret_shapes(text: Column) -> Column:
 
 
 def looks_secret(text: Column) -> Column:
-    return F.coalesce(F.size(secret_shapes(text)) > 0, F.lit(False))
+    """Whether any shape is found: one pass over the text. Each shape keeps its own case rule."""
+    parts = [f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in SECRET_SHAPES.values()]
+    return F.coalesce(text.rlike("|".join(parts)), F.lit(False))
 
 
 def printable(text: Column) -> Column:

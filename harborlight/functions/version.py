@@ -17,14 +17,15 @@ IN_RANGE, OUT_OF_RANGE, INCONCLUSIVE = "in_range", "out_of_range", "inconclusive
 
 def parse_cpe(value: Column) -> Column:
     """(part, vendor, product, version) of a CPE 2.3 name, lower-cased; null if it is none. ``\\:`` is no separator."""
-    text = F.btrim(value)
-    fields = F.split(text, r"(?<!\\):")
+    text = F.lower(F.btrim(value))
+    # escaped colons step aside, so that the split needs no pattern
+    fields = F.split(F.replace(text, F.lit("\\:"), F.lit("\x01")), ":")
 
-    def at(i: int) -> Column:
-        return F.lower(F.replace(F.element_at(fields, i), F.lit("\\:"), F.lit(":")))
+    def named(f: Column) -> Column:
+        at = lambda i: F.replace(F.element_at(f, i), F.lit("\x01"), F.lit(":"))
+        return F.when(F.size(f) >= 6, F.struct(at(3).alias("part"), at(4).alias("vendor"), at(5).alias("product"), at(6).alias("version")))
 
-    named = F.struct(at(3).alias("part"), at(4).alias("vendor"), at(5).alias("product"), at(6).alias("version"))
-    return F.when(F.lower(text).startswith("cpe:2.3:") & (F.size(fields) >= 6), named)
+    return F.when(text.startswith("cpe:2.3:"), _let(fields, named))
 
 
 def is_concrete(version: Column) -> Column:
@@ -88,10 +89,11 @@ def version_in_range(version: Column, start_including: Column, start_excluding:
     """
     texts = [start_including, start_excluding, end_including, end_excluding]
     bound = F.struct(tokens(version).alias("v"), *[x for i, b in enumerate(texts) for x in (F.coalesce(b != "", F.lit(False)).alias(f"h{i}"), tokens(b).alias(f"t{i}"))])
-    return _let(bound, lambda s: _first_verdict(s["v"], [(s[f"h{i}"], s[f"t{i}"]) for i in range(4)]))
+    return _let(bound, lambda s: tokens_in_range(s["v"], [(s[f"h{i}"], s[f"t{i}"]) for i in range(4)]))
 
 
-def _first_verdict(mine: Column, bounds: list[tuple[Column, Column]]) -> Column:
+def tokens_in_range(mine: Column, bounds: list[tuple[Column, Column]]) -> Column:
+    """As :func:`version_in_range`, from the tokens of the version and (given, tokens) of each bound."""
     none = ~(bounds[0][0] | bounds[1][0] | bounds[2][0] | bounds[3][0])
     accepted = ([GREATER, EQUAL], [GREATER], [LESS, EQUAL], [LESS])
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.version import IN_RANGE, INCONCLUSIVE, OUT_OF_RANGE, is_concrete, parse_cpe, version_in_range
+from ..functions.version import IN_RANGE, INCONCLUSIVE, OUT_OF_RANGE, is_concrete, parse_cpe, tokens, tokens_in_range
 from .priority import with_priority
 
 IDENTITY = ["part", "vendor", "product"]
@@ -23,21 +23,25 @@ def confidence_state(version_source: Column, verdict: Column) -> Column:
     return F.when(verdict == INCONCLUSIVE, "probable").when(version_source.isin(GROUND_TRUTH), "confirmed").otherwise("probable")
 
 
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with ``value``, worked out once per row: filters on its fields are not pushed below a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def correlatable(components: DataFrame, assets: DataFrame) -> DataFrame:
     """Current components with a CPE on active assets, with ``cpe_name`` (null if it does not parse) and ``compared``."""
     live = assets.filter("status = 'active'").select("tenant_id", "asset_id")
     rows = components.filter(F.col("is_current") & F.col("cpe").isNotNull()).join(live, ["tenant_id", "asset_id"])
-    rows = rows.withColumn("cpe_name", parse_cpe(F.col("cpe")))
+    rows = _once(rows, parse_cpe(F.col("cpe")), "cpe_name")
     return rows.withColumn("compared", F.when(is_concrete(F.col("cpe_name.version")), F.col("cpe_name.version")).otherwise(F.col("version")))
 
 
-def criterion_verdict(compared: Column, pinned: Column, bounds: list[Column]) -> Column:
-    """A version in the criterion counts only where there are no bounds."""
-    bounded = F.coalesce(F.greatest(*[F.coalesce(b, F.lit("")) for b in bounds]) != "", F.lit(False))
+def effective_bounds(pinned: Column, bounds: list[Column]) -> list[Column]:
+    """A version in the criterion counts, as both closed bounds, only where there are no bounds."""
+    bounded = F.greatest(*[F.coalesce(b, F.lit("")) for b in bounds]) != ""
     exact = is_concrete(pinned) & ~bounded
     none = F.lit(None).cast("string")
-    lo, lo_x, hi, hi_x = bounds
-    return version_in_range(compared, F.when(exact, pinned).otherwise(lo), F.when(exact, none).otherwise(lo_x), F.when(exact, pinned).otherwise(hi), F.when(exact, none).otherwise(hi_x))
+    return [F.when(exact, F.lit(None).cast("string") if i % 2 else pinned).otherwise(F.coalesce(b, none)) for i, b in enumerate(bounds)]
 
 
 def version_verdicts(components: DataFrame, criteria: DataFrame) -> DataFrame:
@@ -48,10 +52,16 @@ def version_verdicts(components: DataFrame, criteria: DataFrame) -> DataFrame:
     range. Rows without either have a null verdict.
     """
     versions = components.filter("cpe_name is not null").select("cpe_name.part", "cpe_name.vendor", "cpe_name.product", "compared").distinct()
-    named = criteria.filter(F.coalesce("vulnerable", F.lit(True))).withColumn("c", parse_cpe(F.col("criteria"))).filter("c is not null")
-    named = named.select("cve_id", "pos", "criteria", *BOUNDS, "c.part", "c.vendor", "c.product", F.col("c.version").alias("pinned"))
-    pairs = versions.join(named, IDENTITY)
-    pairs = pairs.withColumn("verdict", criterion_verdict(F.col("compared"), F.col("pinned"), [F.col(b) for b in BOUNDS]))
+    named = criteria.filter(F.coalesce("vulnerable", F.lit(True)))
+    named = _once(named, parse_cpe(F.col("criteria")), "c").filter("c is not null")
+    bounds = effective_bounds(F.col("c.version"), [F.col(b) for b in BOUNDS])
+    # tokens are cut once per criterion and once per version, not once per pair
+    cut = [x for i, b in enumerate(bounds) for x in (F.coalesce(b != "", F.lit(False)).alias(f"h{i}"), tokens(b).alias(f"t{i}"))]
+    named = named.select("cve_id", "pos", "criteria", "c.part", "c.vendor", "c.product", *cut)
+    # verdicts cost CPU, not bytes: keep the partitions that coalescing by size would merge
+    n = int(components.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = versions.withColumn("mine", tokens(F.col("compared"))).repartition(n, *IDENTITY).join(named, IDENTITY)
+    pairs = pairs.withColumn("verdict", tokens_in_range(F.col("mine"), [(F.col(f"h{i}"), F.col(f"t{i}")) for i in range(4)]))
     hit = F.struct("pos", "criteria")
     per = pairs.groupBy(*IDENTITY, "compared", "cve_id").agg(
         F.min(F.when(F.col("verdict") == IN_RANGE, hit)).alias("inside"),
