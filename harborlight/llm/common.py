@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, stored  # noqa: F401 - used by the operators through this module
+
 # The six ASCII white-space characters of the text contracts.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -40,34 +40,17 @@ def key_to_id(col: Column) -> Column:
     return F.when(col != NO_ID, col)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one all executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none (tests, local mode) one is set here.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir("/tmp/harborlight-checkpoints")
-        base = sc._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/hl-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows handed to a mapping function at once: an Arrow batch may hold 10 000 texts.
+SLICE = 500
 
 
 def map_arrow(df: DataFrame, make, schema: str) -> DataFrame:
-    """``mapInArrow`` with a per-task setup: ``make()`` returns a function from record batch to record batch."""
+    """``mapInArrow`` with a per-task setup: ``make()`` returns a function from record batch to record batches."""
 
     def run(batches):
         fn = make()
         for batch in batches:
-            yield from fn(batch)
+            for i in range(0, max(1, len(batch)), SLICE):
+                yield from fn(batch.slice(i, SLICE))
 
     return df.mapInArrow(run, schema)

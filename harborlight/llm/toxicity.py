@@ -347,7 +347,7 @@ def _features(df: DataFrame, lexicon: dict[str, bool], innocent: frozenset[str])
         auto, known = Automaton(lexicon), {}
 
         def one(batch):
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
             rows = [features(t, auto, known, innocent) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
@@ -366,7 +366,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         auto, known = Automaton(model.lexicon), {}
 
         def one(batch):
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
             x = np.array([features(t, auto, known, model.innocent) for t in texts(batch.column(1))], float).reshape(len(batch), -1)
             s = model.score(x) if len(batch) else np.empty(0)
@@ -387,7 +387,7 @@ def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
         auto, known = Automaton(model.lexicon), {}
 
         def one(batch):
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
             if len(batch):
                 x = np.array([features(t, auto, known, model.innocent) for t in texts(batch.column(at))], float)
