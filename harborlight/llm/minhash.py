@@ -21,10 +21,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_to_id, map_arrow, stored
+from .common import doc_key, in_row, key_to_id, map_arrow, pack_row, stored, unpack_row
 from .components import components
 from .wordscan import mix64, texts, windows, words
 
@@ -311,10 +311,10 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **more) -> Data
     The ids that go are joined to the documents; texts move only where those ids are too many to be broadcast.
     """
     found = stored(near_duplicates(docs, id_col=id_col, **more).select(doc_key(F.col("doc_id")).alias("__id"), "kept"))
-    out = docs.withColumn("__id", doc_key(F.col(f"`{id_col}`"))).join(found.filter("not kept").select("__id").distinct(), "__id", "left_anti")
+    rows = pack_row(docs).withColumn("__id", doc_key(in_row(id_col)))
+    out = rows.join(found.filter("not kept").select("__id").distinct(), "__id", "left_anti")
     repeated = found.filter("kept").groupBy("__id").count().filter("count > 1").select("__id")
     if repeated.limit(1).count():
-        first = Window.partitionBy("__id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-        many = out.join(repeated, "__id", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+        many = out.join(repeated, "__id", "left_semi").groupBy("__id").agg(F.min("__row").alias("__row"))
         out = out.join(repeated, "__id", "left_anti").unionByName(many)
-    return out.drop("__id")
+    return unpack_row(out, docs.columns)
