@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import doc_key, in_row, pack_row, stored, unpack_row
 
 KEY = "surrogate-key-1"
-MAX_ROUNDS = 24
+MAX_ROUNDS = 64
 
 # Forms of address by gender and script; they mark the names that follow.
 MALE = r"Mr|Herr|Monsieur|Señor|Sr|Sir|господин|г-н"
@@ -32,6 +32,8 @@ PATTERN = "|".join(
         rf"{_FREE}[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{1,6}}",
         rf"{_FREE}{_SECRET}[^\s\",;]{{4,200}}",
         rf"{_FREE}(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![0-9A-Za-z])",
+        rf"{_FREE}(?:gh[pousr]_|sk-|xox[abprs]-)[A-Za-z0-9-]{{16,200}}",
+        rf"{_FREE}(?:[0-9A-Fa-f]{{2}}:){{5}}[0-9A-Fa-f]{{2}}(?![0-9A-Za-z:])",
         rf"{_FREE}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,4}})?(?![0-9A-Za-z])",
         rf"{_FREE}(?<![.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![0-9]|\.[0-9])",
         rf"{_FREE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:(?: [0-9]{{4}}){{3}}|(?:-[0-9]{{4}}){{3}}|[ -][0-9]{{6}}[ -][0-9]{{5}}))(?![0-9])",
@@ -46,6 +48,8 @@ PATTERN = "|".join(
 HINT = r"[0-9@=:]"
 TITLE_HINT = rf"(?=[MHFSDPгд])(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{OPEN})\.? {{1,2}}\p{{Lu}}"
 _TITLE = rf"^((?:{MALE}|{FEMALE}|{OPEN})\.? {{1,2}})"
+#: Letters that name the kind of a key or account number; they stay.
+CODE_PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|[A-Z]{2}(?=[0-9]{2}))"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Syllables of invented names, by script, and endings by gender.
 _SYLLABLES = {
@@ -128,7 +132,7 @@ def _scrambled(v: Column, stream: Column) -> Column:
         )
 
     def all_of(b: Column) -> Column:
-        letters = F.when(b["v"].rlike("^(?:[0-9a-f]{8,}|[0-9A-F]{8,})$"), 6).otherwise(26)
+        letters = F.when(b["v"].rlike("^(?:[0-9a-f:]{8,}|[0-9A-F:]{8,})$"), 6).otherwise(26)
         return _let(letters, lambda n: _characters(b["v"], lambda c, i: one(c, _byte(b["s"], i), n)))
 
     return _let(F.struct(v.alias("v"), stream.alias("s")), all_of)
@@ -176,7 +180,7 @@ def _surrogate_of(kind: Column, canonical: Column, s: Column, key: str) -> Colum
     body = F.concat(F.left(canonical, F.lit(1)), _scrambled(F.substring(canonical, F.lit(2), F.length(canonical) - 2), s))
     digits = F.when(F.length(canonical) >= 12, F.concat(body, _luhn_digit(body))).otherwise(_scrambled(canonical, s))
     # keys and account numbers keep the letters that name their kind
-    code = F.concat(F.regexp_extract(canonical, "^(?:AKIA|ASIA|[A-Z]{2})", 0), _scrambled(F.regexp_replace(canonical, "^(?:AKIA|ASIA|[A-Z]{2})", ""), s))
+    code = F.concat(F.regexp_extract(canonical, CODE_PREFIX, 0), _scrambled(F.regexp_replace(canonical, CODE_PREFIX, ""), s))
     return (
         F.when(kind == "email", email)
         .when(kind == "secret", _scrambled(canonical, s))
