@@ -45,10 +45,6 @@ def bounded_scalar(text: Column, limit: int = MAX_VALUE_CHARS) -> Column:
     return F.when((F.length(t) > 0) & (F.length(t) <= limit), t)
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.btrim(text), F.lit(""))
-
-
 def passive_mac(raw: Column) -> Column:
     """Lower-case colon form of an address written with ``:``, ``-`` or ``.``; single digits are padded. Null if it is none."""
     parts = F.split(F.translate(F.lower(F.btrim(raw)), "-.", "::"), ":")
@@ -57,17 +53,6 @@ def passive_mac(raw: Column) -> Column:
     return F.when(fits, joined)
 
 
-def inventory_mac(raw: Column) -> Column:
-    """As :func:`passive_mac`, but also with spaces, or twelve bare digits."""
-    bare = F.regexp_replace(F.lower(F.btrim(raw)), r"[:.\- ]", "")
-    return F.when(bare.rlike("^[0-9a-f]{12}$"), F.regexp_replace(bare, r"(..)(?=.)", "$1:"))
-
-
-def inventory_hostname(raw: Column) -> Column:
-    name = F.rtrim(F.lower(F.btrim(raw)), F.lit("."))
-    return F.when(name.rlike(r"^[a-z0-9]([a-z0-9._-]{0,251}[a-z0-9])?$"), name)
-
-
 def ipv4(raw: Column) -> Column:
     """A dotted quad without leading zeros, each part at most 255; null otherwise."""
     t = F.btrim(raw)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .redact import project
+from .redact import project, secret_paths
 from .scope import segment_labels
 
 MAX_OBSERVATIONS, MAX_PORTS, MAX_FLAGS, MAX_SERVICES = 500, 100, 40, 40
@@ -110,3 +110,22 @@ def inferred_segments(identifiers: DataFrame, subnets: DataFrame) -> DataFrame:
     ips = ips.withColumn("target_id", F.concat_ws("|", "tenant_id", "asset_id", "address")).dropDuplicates(["target_id"])
     found = segment_labels(ips, subnets).filter("label is not null")
     return found.groupBy("tenant_id", "asset_id").agg(F.min_by("label", F.struct(-F.col("confidence"), F.col("address"))).alias("inferred_segment"))
+
+
+def sweep(dossiers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dossiers that may leave, and refusals (tenant_id, asset_id, reason): any string that looks like a secret refuses the whole
+    dossier, as it means that the projection has a hole. Nothing is repaired."""
+    found = dossiers.withColumn("__p", secret_paths(F.to_json(F.struct(*dossiers.columns))))
+    reason = F.concat(F.lit("refusing to emit: "), F.array_join("__p", "; "))
+    return found.filter(F.size("__p") == 0).drop("__p"), found.filter(F.size("__p") > 0).select("tenant_id", "asset_id", reason.alias("reason"))
+
+
+def detail(dossiers: DataFrame, findings: DataFrame, timeline: DataFrame, tenant_id: int, asset_id: int) -> dict[str, DataFrame]:
+    """What a page about one asset shows: its dossier with a label (of a finding, else a hostname, else the first identifier),
+    its findings and its timeline."""
+    one = dossiers.filter((F.col("tenant_id") == tenant_id) & (F.col("asset_id") == asset_id))
+    label = findings.agg(F.first("label", ignorenulls=True).alias("found_label"))
+    host = F.try_element_at(F.filter("identifiers", lambda i: i["kind"] == "hostname"), F.lit(1))["value"]
+    first = F.try_element_at("identifiers", F.lit(1))["value"]
+    named = one.join(F.broadcast(label)).withColumn("label", F.coalesce("found_label", host, first)).drop("found_label")  # one row each
+    return {"dossier": named, "findings": findings, "timeline": timeline}

@@ -17,13 +17,6 @@ def text_field(value: Column, limit: int) -> Column:
     return F.nullif(F.left(F.btrim(printable(value)), F.lit(limit)), F.lit(""))
 
 
-def _get(v: str, path: str, kind: str) -> Column:
-    return F.expr(f"try_variant_get({v}, '{path}', '{kind}')")
-
-
-_TEXT = "try_variant_get({0}, '{1}', 'string')"
-
-
 def _string(v: Column, path: str) -> Column:
     """A string at a path of a variant; null for other kinds."""
     part = F.try_variant_get(v, path, "variant")

@@ -19,8 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    The files go when the driver ends, as results may read them until then.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)

@@ -129,3 +129,19 @@ def test_epss(spark):
     good, bad = feeds.read_epss(spark.createDataFrame([(1, text), (2, "a,b\n1,2"), (3, "cve,epss")], "document_id long, text string"))
     assert {(r.cve_id, r.score, r.percentile, r.model_version) for r in good.collect()} == {("CVE-2024-1", 0.5, 0.9, "v2024.1"), ("CVE-2024-6", 0.001, None, "v2024.1")}
     assert bad.filter("pos is not null").count() == 5 and bad.filter("pos is null").count() == 2
+
+
+def test_workbook(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>Name</t></is></c></row><row r="2"><c r="A2"><v>7</v></c><c r="B2" t="s"><v>1</v></c></row><row r="3"><c r="A3" t="str"><f>1+1</f><v>2</v></c></row></sheetData></worksheet>'
+    for name, body in (("good.xlsx", sheet), ("bad.xlsx", '<!DOCTYPE a [<!ENTITY b "c">]>' + sheet)):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Id</t></si><si><t>Host-1</t></si></sst>")
+            z.writestr("xl/worksheets/sheet1.xml", body)
+    m = inventory.Mapping("Id", hostname="Name")
+    good, bad = inventory.managed_records(inventory.read_xlsx(spark, str(tmp_path / "good.xlsx"), m), m)
+    assert [(r.external_id, r.hostname) for r in good.collect()] == [("7", "host-1")] and [(r.row_number, r.reason) for r in bad.collect()] == [(3, "no_identity")]
+    with pytest.raises(ValueError, match="refused"):
+        inventory.read_xlsx(spark, str(tmp_path / "bad.xlsx"), m)

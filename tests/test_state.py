@@ -130,3 +130,31 @@ def test_asof_segments_agree(spark):
     right = spark.createDataFrame([(1, t, t * 10) for t in range(5, 100, 13)], "k long, at long, v long")
     a, b = (temporal.asof_join(left, right, "k", "at", ["v"], segment=s).orderBy("i").collect() for s in (None, "at div 20"))
     assert a == b and [r.v for r in a][:3] == [None, 50, 50]
+
+
+def test_sweep(spark):
+    from datetime import datetime
+
+    from harborlight.operators import sweep
+
+    text = "10.0.0.7 dev e lladdr aa:bb:cc:dd:ee:01 STALE\n10.0.0.7 dev e lladdr aa:bb:cc:dd:ee:01 REACHABLE\n10.0.0.8 dev e lladdr aa:bb:cc:dd:ee:01 STALE\n11.0.0.1 dev e lladdr aa:bb:cc:dd:ee:02 STALE\njunk"
+    sources = spark.createDataFrame([(1, "arp", datetime(2024, 5, 1), text)], "capture_id long, kind string, observed_at timestamp, text string")
+    auth = spark.createDataFrame([(7, "10.0.0.0/8", True, None), (8, "0.0.0.0/0", True, None)], "tenant_id long, cidr string, active boolean, expires_at timestamp")
+    none = spark.createDataFrame([], "tenant_id long, run_id string, source_identifier string, observation_type string, content_hash string")
+    out = sweep.run(7, "r1", sources, auth, none, F.lit("2024-06-01").cast("timestamp"))
+    assert out.outcome.first().asDict() == {"sightings": 3, "denied": 1, "recorded": 2, "duplicates": 0, "assets": 1, "conflicts": 0, "refused_lines": 1}
+    again = sweep.run(7, "r1", sources, auth, out.observations.filter("created"), F.lit("2024-06-01").cast("timestamp"))
+    assert again.outcome.first().recorded == 0 and {r.result for r in out.audit.collect()} == {"success", "denied"}
+
+
+def test_dossier_sweep_and_detail(spark, data):
+    from harborlight.operators import dossier
+    from harborlight.plans import domain
+
+    rows = domain.QUERIES["dossiers"](spark, data)
+    clean, refused = dossier.sweep(rows)
+    assert clean.count() == rows.count() and refused.count() == 0
+    bad = rows.limit(1).withColumn("context", F.lit('{"model": "x@corp.example.com"}'))
+    assert dossier.sweep(bad)[0].count() == 0 and "email-address" in dossier.sweep(bad)[1].first().reason
+    page = dossier.detail(rows, domain.QUERIES["asset_findings"](spark, data), domain.QUERIES["asset_timeline"](spark, data), 1, 57)
+    assert page["dossier"].first().label
