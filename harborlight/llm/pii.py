@@ -38,7 +38,8 @@ PATTERN = "|".join(
         rf"{_FREE}(?<![.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![0-9]|\.[0-9])",
         rf"{_FREE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:(?: [0-9]{{4}}){{3}}|(?:-[0-9]{{4}}){{3}}|[ -][0-9]{{6}}[ -][0-9]{{5}}))(?![0-9])",
         rf"{_FREE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9-])",
-        r"(?<![\p{L}\p{N}_+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
+        r"(?<![\p{L}\p{N}_+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+        r"(?<![\p{L}\p{N}_+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?!\.?[0-9])",
         r"(?<![\p{L}\p{N}_(])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
         rf"{_FREE}(?:{MALE}|{FEMALE}|{OPEN})\.? {{1,2}}{_NAME}(?: {_NAME})?",
     ]
