@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.net import address_number, network_high, network_low, prefix_length
+from ..functions.net import address_key, masked, network
 
 #: Rules up to so many are broadcast; more are joined by prefix, an equi-join.
 MAX_BROADCAST_RULES = 2_000
 
 
 def _networks(rules: DataFrame) -> DataFrame:
-    """Rules with numeric bounds; those that are no network are left out."""
-    cidr = F.col("cidr")
-    return rules.withColumn("low", network_low(cidr)).withColumn("high", network_high(cidr)).withColumn("bits", prefix_length(cidr)).filter("low is not null")
+    """Rules with bounds; those that are no network are left out (see :func:`invalid_rules`)."""
+    return rules.withColumn("net", network(F.col("cidr"))).filter("net is not null").select("*", "net.low", "net.high", "net.bits")
+
+
+def invalid_rules(rules: DataFrame, max_label_chars: int = 100) -> DataFrame:
+    """Rules that are refused, with the reason: no network in CIDR notation, host bits set, or a label that is empty or too long."""
+    cidr = F.btrim("cidr")
+    reason = F.when(network(cidr).isNull(), F.concat(F.lit("not a network in CIDR notation: "), F.coalesce(F.left(cidr, F.lit(60)), F.lit("null"))))
+    if "label" in rules.columns:
+        label = F.btrim(F.regexp_replace("label", r"\s+", " "))
+        reason = reason.when(F.coalesce(label, F.lit("")) == "", "empty label").when(F.length(label) > max_label_chars, f"label longer than {max_label_chars} characters")
+    return rules.withColumn("reason", reason).filter("reason is not null")
 
 
 def most_specific(targets: DataFrame, rules: DataFrame, address: str, keep: list[str], extra: Column | None = None) -> DataFrame:
@@ -25,15 +34,14 @@ def most_specific(targets: DataFrame, rules: DataFrame, address: str, keep: list
     row per prefix length in use, so that no pair is compared that does not match.
     """
     nets = _networks(rules if extra is None else rules.filter(extra)).select("tenant_id", "cidr", "low", "high", "bits", *keep)
-    rows = targets.withColumn("__a", address_number(F.col(address)))
+    rows = targets.withColumn("__a", address_key(F.col(address)))
     if nets.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES:
         r = F.broadcast(nets)
         hits = rows.join(r, (rows.tenant_id == r.tenant_id) & rows["__a"].between(r.low, r.high)).drop(r.tenant_id)
     else:
-        used = [x["bits"] for x in nets.select("bits").distinct().collect()]  # 33 at most
+        used = [x["bits"] for x in nets.select("bits").distinct().collect()]  # 129 at most
         sizes = F.array(*[F.lit(b) for b in sorted(used)])
-        span = lambda b: F.pow(F.lit(2.0), 32 - b).cast("long")
-        spread = rows.withColumn("bits", F.explode(sizes)).withColumn("low", F.col("__a") - F.col("__a") % span(F.col("bits")))
+        spread = rows.withColumn("bits", F.explode(sizes)).withColumn("low", masked(F.col("__a"), F.col("bits")))
         hits = spread.join(nets, ["tenant_id", "bits", "low"])
     best = hits.groupBy("target_id").agg(F.max_by(F.struct("cidr", *keep), F.struct("bits", "cidr")).alias("r"))
     return targets.join(best, "target_id", "left").select(*targets.columns, F.col("r.cidr").alias("cidr"), *[F.col(f"r.{k}").alias(k) for k in keep])

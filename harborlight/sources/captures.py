@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_hostname, ipv4, passive_mac
+from ..functions.net import address_text
+from ..functions.text import clean_hostname, passive_mac
 
 # Confidence by source.
 CONFIDENCE = {"arp": 0.9, "dhcp": 0.8, "mdns": 0.6}
@@ -44,7 +45,7 @@ def read_arp(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = significant_lines(captures)
     neigh = F.col("line").rlike(_NEIGH)
     pick = lambda i, j: F.when(neigh, F.regexp_extract("line", _NEIGH, i)).otherwise(F.regexp_extract("line", _BSD, j))
-    rows = rows.withColumn("target", ipv4(pick(1, 1))).withColumn("dev", pick(2, 3)).withColumn("mac", passive_mac(pick(3, 2)))
+    rows = rows.withColumn("target", address_text(pick(1, 1))).withColumn("dev", pick(2, 3)).withColumn("mac", passive_mac(pick(3, 2)))
     unresolved = neigh & F.regexp_extract("line", _NEIGH, 4).isin("INCOMPLETE", "FAILED")
     reason = (
         F.when(~neigh & ~F.col("line").rlike(_BSD), "unrecognised ARP entry format")
@@ -75,7 +76,7 @@ def read_leases(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
         "capture_id",
         "lineno",
         "closed",
-        ipv4(F.regexp_extract(F.element_at("body", 1), r"^lease\s+(.*?)\s*\{$", 1)).alias("target"),
+        address_text(F.regexp_extract(F.element_at("body", 1), r"^lease\s+(.*?)\s*\{$", 1)).alias("target"),
         last("binding state ").alias("state"),
         F.try_to_timestamp(stamp("starts"), F.lit("yyyy/MM/dd HH:mm:ss")).alias("observed_at"),
         stamp("ends").alias("ends"),
@@ -95,7 +96,7 @@ def read_mdns(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``avahi-browse -p``: resolved records."""
     rows = significant_lines(captures).withColumn("f", F.split("line", ";"))
     at = lambda i: F.try_element_at("f", F.lit(i))
-    rows = rows.withColumn("target", ipv4(at(8))).withColumn("mac", F.lit(None).cast("string")).withColumn("hostname", clean_hostname(at(7)))
+    rows = rows.withColumn("target", address_text(at(8))).withColumn("mac", F.lit(None).cast("string")).withColumn("hostname", clean_hostname(at(7)))
     reason = (
         F.when(at(1) != "=", "not a resolved mDNS record")
         .when(F.size("f") < 9, "resolved mDNS record has too few fields")
