@@ -40,18 +40,18 @@ both("join_right", "SELECT s_suppkey, c_custkey FROM @customer@ RIGHT JOIN @supp
 both("join_full", "SELECT coalesce(c_custkey, -1) AS c, coalesce(s_suppkey, -1) AS s FROM (SELECT c_custkey FROM @customer@ WHERE c_custkey < 300) a FULL JOIN @supplier@ ON c_custkey = s_suppkey * 7")
 both("join_semi", "SELECT o_orderkey FROM @orders@ WHERE EXISTS (SELECT 1 FROM @lineitem@ WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
 both("join_anti", "SELECT c_custkey FROM @customer@ WHERE NOT EXISTS (SELECT 1 FROM @orders@ WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
-both("pricing_summary", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base, sum(l_extendedprice * (1 - l_discount)) AS sum_disc,
-  sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS sum_charge, avg(l_quantity) AS avg_qty, avg(l_discount) AS avg_disc, count(*) AS n
+both("pricing_summary", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
+  round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
   FROM @lineitem@ WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""")
-both("revenue_by_nation", """SELECT n_name, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM @customer@ JOIN @orders@ ON c_custkey = o_custkey JOIN @lineitem@ ON l_orderkey = o_orderkey
+both("revenue_by_nation", """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM @customer@ JOIN @orders@ ON c_custkey = o_custkey JOIN @lineitem@ ON l_orderkey = o_orderkey
   JOIN @supplier@ ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN @nation@ ON s_nationkey = n_nationkey GROUP BY n_name""")
 both("group_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM @lineitem@ GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 both("group_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM @orders@ GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 both("group_sets", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM @customer@ GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
 both("count_distinct", "SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_orders, count(DISTINCT l_partkey) AS n_parts FROM @lineitem@ GROUP BY l_returnflag")
 both("having_filter", "SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f FROM @orders@ GROUP BY o_custkey HAVING count(*) > 12")
-both("percentiles", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.9) AS p90, stddev_samp(l_quantity) AS sd FROM @lineitem@ GROUP BY l_returnflag",
-     "SELECT l_returnflag, percentile(l_extendedprice, 0.5) AS p50, percentile(l_extendedprice, 0.9) AS p90, stddev_samp(l_quantity) AS sd FROM @lineitem@ GROUP BY l_returnflag")
+both("percentiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(stddev_samp(l_quantity), 6) AS sd FROM @lineitem@ GROUP BY l_returnflag",
+     "SELECT l_returnflag, round(percentile(l_extendedprice, 0.5), 4) AS p50, round(percentile(l_extendedprice, 0.9), 4) AS p90, round(stddev_samp(l_quantity), 6) AS sd FROM @lineitem@ GROUP BY l_returnflag")
 both("window_ranks", """SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nt
   FROM @orders@ WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""")
 both("window_offsets", """SELECT event_id, lag(value) OVER w AS before, lead(value) OVER w AS after, first_value(value) OVER w AS first_v, last_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_v
@@ -76,7 +76,7 @@ both("regex_extract", "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1)
 both("pivot_status", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM @orders@ GROUP BY o_orderpriority",
      "SELECT o_orderpriority, coalesce(F, 0) AS f, coalesce(O, 0) AS o, coalesce(P, 0) AS p FROM (SELECT o_orderpriority, o_orderstatus FROM @orders@) PIVOT (count(*) FOR o_orderstatus IN ('F' AS F, 'O' AS O, 'P' AS P))")
 both("recursive_hierarchy", "WITH RECURSIVE t AS (SELECT CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS depth UNION ALL SELECT n * 2, depth + 1 FROM t WHERE depth < 10) SELECT n, depth, n_name FROM t JOIN @nation@ ON n % 25 = n_nationkey")
-both("scalar_subquery", "SELECT s_suppkey, s_acctbal - (SELECT avg(s_acctbal) FROM @supplier@) AS above FROM @supplier@")
+both("scalar_subquery", "SELECT s_suppkey, round(s_acctbal - (SELECT avg(s_acctbal) FROM @supplier@), 6) AS above FROM @supplier@")
 both("quantified_in", "SELECT p_partkey FROM @part@ WHERE p_partkey IN (SELECT l_partkey FROM @lineitem@ WHERE l_discount > 0.09)")
 
 
@@ -106,14 +106,14 @@ def range_join(spark, d):
     return temporal.range_join(table(spark, d, "part").select("p_retailprice"), s, "p_retailprice", "low", "high", 2.0).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
-@register("tumbling_window", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+@register("tumbling_window", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_window(spark, d):
-    return temporal.windowed_counts(table(spark, d, "events"), "ts", "1 day", None, ["event_type"], F.col("value"))
+    return temporal.windowed_counts(table(spark, d, "events"), "ts", "1 day", None, ["event_type"], F.col("value")).withColumn("total", F.round("total", 4))
 
 
-@register("sliding_window", "SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k) AS window_start, count(*) AS n, sum(value) AS total FROM events, range(0, 2) t(k) GROUP BY ALL")
+@register("sliding_window", "SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events, range(0, 2) t(k) GROUP BY ALL")
 def sliding_window(spark, d):
-    return temporal.windowed_counts(table(spark, d, "events"), "ts", "12 hours", "6 hours", [], F.col("value"))
+    return temporal.windowed_counts(table(spark, d, "events"), "ts", "12 hours", "6 hours", [], F.col("value")).withColumn("total", F.round("total", 4))
 
 
 @register("session_window", """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -47,10 +47,10 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-@register("stream_tumbling", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+@register("stream_tumbling", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
     s = source(spark, spark_sql(spark, d, "SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type, value FROM @events@"))
-    return drained(jobs.windowed_counts(s, "ts", "1 day", None, ["event_type"], F.col("value"), "400 days"), "complete")
+    return drained(jobs.windowed_counts(s, "ts", "1 day", None, ["event_type"], F.col("value"), "400 days"), "complete").withColumn("total", F.round("total", 4))
 
 
 @register("stream_dedup", "SELECT tenant_id, CAST(run_id AS VARCHAR) AS run_id, observation_type, count(*) AS n FROM (SELECT DISTINCT tenant_id, run_id, coalesce(source_identifier, '') AS sid, observation_type, payload FROM v_observation) GROUP BY ALL")
