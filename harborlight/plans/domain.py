@@ -550,3 +550,60 @@ def scan_classify(spark, d):
     services = F.when(k == 1, F.array(F.lit("_IPP._tcp"))).otherwise(F.array().cast("array<string>"))
     ports = F.when((k == 2) & (F.col("asset_id") % 3 == 0), F.array(F.lit(22), F.lit(9100))).when(k == 2, F.array(F.lit(22), F.lit(80))).otherwise(F.array().cast("array<int>"))
     return view(spark, d, "v_asset").select("asset_id", scan.scan_profile(F.col("asset_class"), vendor, services, ports).alias("profile"))
+
+
+# --- further operators -------------------------------------------------------------------------------------------------
+
+
+@register("strong_anchor_owner", """WITH s AS (SELECT a.tenant_id, a.asset_id, CASE WHEN a.merged_into IS NULL THEN a.asset_id WHEN b.merged_into IS NULL THEN b.asset_id ELSE b.merged_into END AS survivor_id
+  FROM v_asset a LEFT JOIN v_asset b ON b.asset_id = a.merged_into AND b.tenant_id = a.tenant_id) SELECT o.tenant_id, kind, value, survivor_id FROM v_owner o JOIN s USING (tenant_id, asset_id)""")
+def strong_anchor_owner(spark, d):
+    at = identity.survivors(view(spark, d, "v_asset")).select("tenant_id", "asset_id", "survivor_id")
+    return view(spark, d, "v_owner").join(at, ["tenant_id", "asset_id"]).select("tenant_id", "kind", "value", "survivor_id")
+
+
+@register("cache_freshness", f"SELECT event_id, TIMESTAMP '{AS_OF}' - CAST(ts AS TIMESTAMP) < INTERVAL 24 HOUR AS fresh FROM events")
+def cache_freshness(spark, d):
+    q = spark_sql(spark, d, "SELECT event_id, CAST(ts AS TIMESTAMP) AS fetched_at FROM @events@")
+    return store.stale_queries(q, F.lit(AS_OF).cast("timestamp"), 24).select("event_id", "fresh")
+
+
+_SAID = "CASE WHEN doc_id % 4 = 0 THEN 'Not  in THE text' WHEN doc_id % 4 = 1 THEN '' ELSE lower(left(trim(text), 12)) END"
+
+
+@register("citation_resolution", """SELECT doc_id AS reply_id, kind, ref FROM (
+  SELECT doc_id, 'advisory' AS kind, CASE WHEN doc_id % 3 = 0 THEN 'CVE-0-0' ELSE cve_id END AS ref FROM v_advisory WHERE doc_id % 3 > 0 AND doc_id % 4 > 0
+  UNION ALL SELECT doc_id, 'dossier_field', 'software[0].cpe' FROM v_advisory WHERE doc_id % 5 > 0)""")
+def citation_resolution(spark, d):
+    base = spark_sql(spark, d, f"SELECT doc_id, cve_id, text, {_SAID} AS said FROM v_advisory")
+    adv = F.struct(F.lit("advisory").alias("kind"), F.when(F.col("doc_id") % 3 == 0, F.lit("CVE-0-0")).otherwise(F.col("cve_id")).alias("ref"), F.col("said").alias("quote"))
+    fld = F.struct(F.lit("dossier_field").alias("kind"), F.lit("software[0].cpe").alias("ref"), F.lit(None).cast("string").alias("quote"))
+    doc = F.when(F.col("doc_id") % 5 == 0, F.lit('{"software": []}')).otherwise(F.lit('{"software": [{"cpe": "c"}]}'))
+    replies = base.select(F.col("doc_id").alias("reply_id"), "cve_id", F.lit("adv-1").alias("advisory_id"), F.lit("feed").alias("advisory_source"), F.col("text").alias("advisory_text"), doc.alias("dossier"), F.array(adv, fld).alias("citations"))
+    return triage.resolved_citations(replies).select("reply_id", "kind", "ref")
+
+
+@register("advisory_evidence", """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE '[[source: feed]]' || chr(10) || 'text ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '[[references]]' || chr(10) || 'https://a.example/' || doc_id ELSE '' END END AS evidence FROM documents""")
+def advisory_evidence(spark, d):
+    k = F.col("doc_id")
+    one = F.struct(F.lit("feed").alias("source"), F.concat(F.lit("text "), k.cast("string")).alias("text"))
+    sections = F.when(k % 6 == 0, F.array().cast("array<struct<source:string,text:string>>")).otherwise(F.array(one))
+    url = F.concat(F.lit("https://a.example/"), k.cast("string"))
+    refs = F.when(k % 2 == 0, F.array(url, F.lit("ftp://x"), url)).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "documents").select("doc_id", triage.evidence(sections, refs).alias("evidence"))
+
+
+@register("patch_references", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://github.com/o/r/commit/0123abcd' || page_id END AS patch,
+  CASE page_id % 4 WHEN 0 THEN 'https://github.com/o/r/commit/0123abcd' || page_id || '.patch' END AS fetch FROM pages""")
+def patch_references(spark, d):
+    k = F.col("page_id").cast("string")
+    refs = F.array(F.col("url"), F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://github.com/o/r/commit/0123abcd"), k)).otherwise(F.concat(F.lit("http://github.com/o/r/commit/0123abcd"), k)))
+    first = triage.first_patch(refs)
+    return table(spark, d, "pages").select("page_id", first.alias("patch"), F.when(first.isNotNull(), triage.patch_url(first)).alias("fetch"))
+
+
+@register("merge_state", """WITH e AS (SELECT user_id AS merged_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'reversal' ELSE 'merge' END AS kind, event_id % 100 AS survivor_id, ts FROM events)
+SELECT merged_id, survivor_id FROM e QUALIFY row_number() OVER (PARTITION BY merged_id ORDER BY ts DESC, event_id DESC) = 1 AND kind = 'merge'""")
+def merge_state(spark, d):
+    e = table(spark, d, "events").select(F.lit(1).alias("tenant_id"), F.col("user_id").alias("merged_id"), "event_id", F.when(F.col("event_id") % 3 == 0, "reversal").otherwise("merge").alias("kind"), (F.col("event_id") % 100).alias("survivor_id"), F.col("ts").alias("occurred_at"))
+    return identity.merge_state(e).select("merged_id", "survivor_id")
