@@ -87,6 +87,7 @@ def prompt(rows: DataFrame) -> DataFrame:
     """
     safe = sanitized(sanitized(rows, "advisory_text").withColumnRenamed("safe_text", "__advisory").drop("control_tokens", "injections", "truncated"), "dossier", 12_000)
     line = lambda c, n: one_line(F.coalesce(F.col(c), F.lit("none")), n)
+    # The wording and order of the prompt.
     kev = F.when(F.col("kev"), "ACTIVELY EXPLOITED (CISA KEV) — this finding cannot be de-prioritised.").otherwise("Not listed in CISA KEV.")
     epss = F.when(F.col("epss").isNull(), F.lit("unknown")).otherwise(F.format_number("epss", 4))
     parts = [

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.net import address_text
 from ..functions.text import clean_hostname, passive_mac
 
-# Confidence by source.
+# Confidence by source; line patterns; and, in the readers below, the wording of refusals.
 CONFIDENCE = {"arp": 0.9, "dhcp": 0.8, "mdns": 0.6}
 _NEIGH = r"^(\S+)\s+dev\s+(\S+)\s+lladdr\s+(\S+)\s+([A-Z]+)\s*$"
 _BSD = r"^\S*\s*\(([^)]+)\)\s+at\s+([0-9a-fA-F:]+)\s+on\s+(\S+)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import CVE_PATTERN, printable
 
 MAX_DESCRIPTION, MAX_REFERENCES, MAX_CRITERIA, MAX_KEV, MAX_EPSS = 4_000, 50, 500, 100_000, 1_000_000
-# Metric blocks, newest first, and the severities known.
+# Metric blocks, newest first, the severities known and, in the readers below, the wording of refusals.
 METRICS = {"cvssMetricV31": "3.1", "cvssMetricV30": "3.0", "cvssMetricV2": "2.0"}
 SEVERITIES = ["none", "low", "medium", "high", "critical"]
 
