@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_row, pack_row, unpack_row
+from .common import in_row, pack_row, stored, unpack_row
 
 SEED = "mix-1"
 #: Weights of the production mixture: sources not named have weight 1.
@@ -56,14 +56,11 @@ def source_rates(docs: DataFrame, source: Column, weights: dict[str, float] | No
     for name, w in given.items():
         weight = F.when(F.col("__source") == name, F.lit(float(w))).otherwise(weight)
     weighed = counts.withColumn("__w", weight)
-    sums = weighed.agg(F.sum("__n").alias("__all"), F.sum("__w").alias("__weights"))
-    goal = F.lit(float(total)) if total is not None else F.col("__all").cast("double")
-    return (
-        weighed.join(F.broadcast(sums))  # one row
-        .withColumn("__rate", F.when(F.col("__weights") > 0, F.col("__w") * goal / F.col("__weights") / F.col("__n")).otherwise(F.lit(0.0)))
-        .withColumn("__cdf", F.when(F.col("__rate") > 0, _cdf(F.col("__rate"))).otherwise(F.array(F.lit(1.0))))
-        .select("__source", "__n", "__w", "__rate", "__cdf")
-    )
+    sums = weighed.agg(F.sum("__n").alias("rows"), F.sum("__w").alias("weights")).first()
+    goal, shares = float(total if total is not None else sums["rows"] or 0), sums["weights"] or 0.0
+    rate = F.col("__w") * goal / shares / F.col("__n") if shares > 0 else F.lit(0.0)
+    weighed = weighed.withColumn("__rate", rate)
+    return weighed.withColumn("__cdf", F.when(F.col("__rate") > 0, _cdf(F.col("__rate"))).otherwise(F.array(F.lit(1.0)))).select("__source", "__n", "__w", "__rate", "__cdf")
 
 
 def _copies(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights, default_weight: float, total: int | None, seed: str) -> DataFrame:
@@ -74,7 +71,7 @@ def _copies(docs: DataFrame, id_col: str, source_col: str, text_col: str, weight
         small = docs.sparkSession.createDataFrame(known, rates.schema)
         rows = rows.join(F.broadcast(small), "__source")
     else:
-        rows = rows.join(rates, "__source")
+        rows = rows.join(stored(rates), "__source")
     # ids are hashed; a row without one is told apart by its text
     name = F.coalesce(in_row(id_col).cast("string"), F.md5(F.coalesce(in_row(text_col), F.lit("")).cast("binary")))
     rows = rows.withColumn("__u", uniform(F.lit(seed), name)).withColumn("__count", F.size(F.filter("__cdf", lambda c: c < F.col("__u"))))
