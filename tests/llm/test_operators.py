@@ -147,6 +147,16 @@ def test_surrogates(spark):
         assert not any(old in t for t in rows if t)
 
 
+def test_long_secrets_are_replaced_to_their_end(spark):
+    r = random.Random(5)
+    value = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(1000))
+    shapes = [f"token={value} end", f'secret: "{value}", end', f"ghp_{value} end", f"sk-{value}"]
+    rows = [x.text for x in pii.with_surrogates(spark.createDataFrame(list(enumerate(shapes)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for old, new in zip(shapes, rows, strict=True):
+        assert len(new) == len(old) and new[:3] == old[:3] and new.endswith(" end") == old.endswith(" end")
+        assert not any(value[i : i + 12] in new for i in range(len(value) - 11))
+
+
 def test_surrogates_are_keyed_distinct_and_keep_columns(spark, awkward):
     ips = spark.createDataFrame([(i, f"at 10.0.{i // 250}.{i % 250 + 1} now") for i in range(1500)], "doc_id long, text string")
     one, two = ({r.doc_id: r.text for r in pii.with_surrogates(ips, key=k).collect()} for k in ("k1", "k2"))
