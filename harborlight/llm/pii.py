@@ -45,9 +45,10 @@ PATTERN = "|".join(
         rf"{_FREE}(?:{MALE}|{FEMALE}|{OPEN})\.? {{1,2}}{_NAME}(?: {_NAME})?",
     ]
 )
-#: What every entity has something of: texts without are not searched further. Both are cheap: a class, and a title that a
-#: class of first letters precedes.
+#: What every entity has something of: texts without are not searched further. All are cheap: a class, and the beginning of a
+#: key or a title that a class of first letters precedes. A new entity without the class's characters needs a hint of its own.
 HINT = r"[0-9@=:]"
+KEY_HINT = r"(?=[Agsx])(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-)"
 TITLE_HINT = rf"(?=[MHFSDPгд])(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{OPEN})\.? {{1,2}}\p{{Lu}}"
 _TITLE = rf"^((?:{MALE}|{FEMALE}|{OPEN})\.? {{1,2}})"
 #: Letters that name the kind of a key or account number; they stay.
@@ -278,7 +279,7 @@ def pii_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
       there is no join.
     """
     rows = pack_row(docs).select("__row", in_row(text_col).alias("__text"), doc_key(in_row(id_col)).alias("__id"))
-    found = F.when(F.col("__text").rlike(HINT) | F.col("__text").rlike(TITLE_HINT), F.regexp_extract_all("__text", F.lit(PATTERN), F.lit(0)))
+    found = F.when(F.col("__text").rlike(HINT) | F.col("__text").rlike(KEY_HINT) | F.col("__text").rlike(TITLE_HINT), F.regexp_extract_all("__text", F.lit(PATTERN), F.lit(0)))
     mentions = rows.select("__id", F.xxhash64("__text").alias("__version"), F.explode(found).alias("e"))
     units = stored(mentions.select(F.explode(F.flatten(F.array(_units(F.col("e"))))).alias("u")).select("u.kind", "u.canonical").distinct())
     more = further_attempts(units, key)
