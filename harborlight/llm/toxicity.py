@@ -42,14 +42,14 @@ _REPORTING = frozenset(
 class Automaton:
     """The lexicon's trie met with Levenshtein automata, determinised as far as texts ask for."""
 
-    def __init__(self, lexicon: dict[str, bool]):
-        """``lexicon``: term -> whether it is a stem (then any ending may follow)."""
+    def __init__(self, lexicon: dict[str, int]):
+        """``lexicon``: term -> 0 for a word, 1 for a stem (then any ending may follow), 2 for both."""
         self.kids: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.most: list[int] = [0]
-        self.stem: list[bool] = [False]
-        for word, is_stem in sorted(lexicon.items()):
-            edits = self.allowed(word, is_stem)
+        self.kind: list[int] = [0]
+        for word, kind in sorted(lexicon.items()):
+            edits = self._edits(word, kind)
             node = 0
             self.most[0] = max(self.most[0], edits)
             for ch in word:
@@ -58,16 +58,19 @@ class Automaton:
                     self.kids.append({})
                     self.term.append(None)
                     self.most.append(0)
-                    self.stem.append(False)
+                    self.kind.append(0)
                 node = self.kids[node][ch]
                 self.most[node] = max(self.most[node], edits)
-            self.term[node], self.stem[node] = word, is_stem
+            self.term[node], self.kind[node] = word, int(kind)
         self._clear()
 
     @staticmethod
     def allowed(word: str, is_stem: bool) -> int:
         n = len(word)
-        return (1 if n >= 6 else 0) if is_stem else (2 if n >= 9 else 1 if n >= 5 else 0)
+        return (1 if n >= 6 else 0) if is_stem else (2 if n >= 9 else 1 if n >= 4 else 0)
+
+    def _edits(self, word: str, kind: int) -> int:
+        return max(self.allowed(word, is_stem) for is_stem in (False, True) if kind in (is_stem, 2))
 
     def _clear(self):
         self.ids: dict[frozenset, int] = {}
@@ -94,8 +97,9 @@ class Automaton:
             self.ids[states] = len(self.sets)
             self.sets.append(states)
             self.moves.append({})
-            ends = [(e, self.term[node]) for node, e, held in states if not held and self.term[node] is not None and e <= self.allowed(self.term[node], self.stem[node])]
-            stems = [(e, t) for e, t in ends if t is not None and any(self.stem[node] and self.term[node] == t for node, _, _ in states)]
+            at = [(e, self.term[node], self.kind[node]) for node, e, held in states if not held and self.term[node] is not None]
+            ends = [(e, t) for e, t, kind in at if e <= self._edits(t, kind)]
+            stems = [(e, t) for e, t, kind in at if kind and e <= self.allowed(t, True)]
             self.found.append((min(ends)[1], min(ends)[0]) if ends else None)
             self.sure.append((min(stems)[1], min(stems)[0]) if stems else None)
         return self.ids[states]
@@ -159,7 +163,7 @@ def _candidates(found) -> set[str]:
 
 @dataclass
 class Model:
-    lexicon: dict[str, bool]
+    lexicon: dict[str, int]
     innocent: frozenset[str]
     weights: np.ndarray
 
@@ -242,8 +246,11 @@ def _toxic_counts(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "term string, context long").distinct().groupBy("term").agg(F.count("*").alias("n"))
 
 
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, tested: int) -> dict[str, bool]:
-    """Terms far likelier in toxic documents than chance explains; stems only where several words share them."""
+def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, tested: int) -> dict[str, int]:
+    """Terms far likelier in toxic documents than chance explains; stems only where several words share them.
+
+    The words that make a stem stay beside it: a short stem allows no edit, its words do.
+    """
     if not n_toxic:
         return {}
     surprise = math.log((n_toxic + n_clean) / n_toxic) or 1e-9
@@ -266,7 +273,11 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
     good = {s for s in good if not any(s[:n] in good for n in STEMS if n < len(s))}
     words = {t for t in odds if not t.endswith("*") and not any(t[:n] in good for n in STEMS if n <= len(t))}
     ranked = sorted([(odds[s + "*"], s, True) for s in good] + [(odds[w], w, False) for w in words], key=lambda x: (-x[0], x[1]))
-    return {t: is_stem for _, t, is_stem in ranked[:MAX_TERMS]}
+    lexicon = {t: int(is_stem) for _, t, is_stem in ranked[:MAX_TERMS]}
+    for t, a in toxic.items():
+        if not t.endswith("*") and clean.get(t, 0) <= 0.2 * a and any(lexicon.get(t[:n]) for n in STEMS if n <= len(t)):
+            lexicon[t] = 2 if lexicon.get(t) else 0
+    return lexicon
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -321,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return Model(lexicon, innocent, fit_weights(x, np.array([float(r["id"] > 0) for r in rows])))
 
 
-def _innocent(clean: DataFrame, lexicon: dict[str, bool]) -> frozenset[str]:
+def _innocent(clean: DataFrame, lexicon: dict[str, int]) -> frozenset[str]:
     """Words of clean sample documents that lie near a term without being one: they are no misspellings."""
 
     def run(batches):
@@ -342,7 +353,7 @@ def _innocent(clean: DataFrame, lexicon: dict[str, bool]) -> frozenset[str]:
     return frozenset(r["word"] for r in clean.mapInArrow(run, "word string").distinct().collect()) if lexicon else frozenset()
 
 
-def _features(df: DataFrame, lexicon: dict[str, bool], innocent: frozenset[str]) -> DataFrame:
+def _features(df: DataFrame, lexicon: dict[str, int], innocent: frozenset[str]) -> DataFrame:
     def make():
         auto, known = Automaton(lexicon), {}
 

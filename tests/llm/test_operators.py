@@ -507,6 +507,16 @@ def test_automaton_against_distances():
         assert (got is None) == (not near) and (not near or got[1] == min(near)[0]), (w, got, near)
 
 
+def test_short_terms_and_words_of_stems_allow_an_edit():
+    auto = toxicity.Automaton({"scum": False})
+    assert [auto.match(w) for w in ("scum", "scmu", "sc0m", "scuum")] == [("scum", 0), ("scum", 1), ("scum", 1), ("scum", 1)] and auto.match("skim") is None
+    toxic = {"idiot": 20, "idiots": 20, "idiotic": 20, "idio*": 60, "idiot*": 40, "idioti*": 20, "lowei": 20, "loweia": 20, "lowei*": 40}
+    lexicon = toxicity.choose_terms(toxic, {}, 100, 1000, 9)
+    assert lexicon["idio"] == 1 and lexicon["idiot"] == 0 and lexicon["lowei"] == 2
+    auto = toxicity.Automaton(lexicon)
+    assert all(auto.match(w) is not None for w in ("idoit", "1diot", "idi0t", "idiotisch", "lowex", "loweichen")) and auto.match("video") is None
+
+
 def test_stems_match_any_ending():
     auto = toxicity.Automaton({"lowei": True, "lostra": True})
     assert auto.match("loweichen") == ("lowei", 0) and auto.match("lostrxan")[1] == 1 and auto.match("lower") is None
