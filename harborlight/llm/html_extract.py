@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ BLOCKS = frozenset(
 )
 RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg math".split())
 SKIPPED = frozenset("head script style textarea iframe noembed noframes template svg math select button datalist object audio video canvas noscript".split())
+#: Elements that leave the head open. A noscript of the head ends at its own end tag, unless one of the others comes first.
+METADATA = frozenset("html head title meta link base basefont bgsound script style template noframes noscript".split())
+_NOSCRIPT_END = re.compile(r"(?i)<(/?noscript|/?head|/?body)\b")
 _CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 _STOP_AT = frozenset("ul ol dl table td th div article section body html blockquote".split())
 _MARK = re.compile(
@@ -80,6 +84,7 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = [("html", page.add(-1, "html"))]
     skip = 0  # depth of skipped elements
     skipped: list[str] = []
+    in_head = True  # until an end of the head that the page may leave to be understood
     piece: list[str] = []
     linked = 0
     in_link = False
@@ -93,8 +98,16 @@ def parse(source: str) -> Page:
             piece.clear()
         linked = 0
 
+    def leave_head():
+        nonlocal skip, in_head
+        if in_head:
+            skip, in_head = 0, False
+            skipped.clear()
+
     def say(raw: str):
         nonlocal linked
+        if in_head and raw.strip(" \t\n\f\r\ufeff"):
+            leave_head()
         if raw and not skip:
             t = html.unescape(raw) if "&" in raw else raw
             piece.append(t)
@@ -113,6 +126,12 @@ def parse(source: str) -> Page:
         if not name:
             continue
         name, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if in_head and (name in ("body", "html", "br") if closing else name not in METADATA):
+            leave_head()
+        elif in_head and name == "noscript" and not closing:
+            end = _NOSCRIPT_END.search(source, pos)
+            if end and end[1].lower() == "/noscript":
+                pos = end.start()
         if name in RAW and not closing and not attrs.endswith("/"):
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, pos)
             pos = end.end() if end else n
@@ -127,9 +146,6 @@ def parse(source: str) -> Page:
                     skip -= 1
                 skip -= 1
             continue
-        if name == "body" and skipped == ["head"]:
-            skipped.clear()
-            skip = 0
         if skip:
             continue
         if name == "a":
@@ -180,7 +196,7 @@ def node_features(page: Page) -> list[list[str]]:
                 f"in={page.tag[p]}",
                 f"links={0 if not page.links[i] else 1 if share < 0.3 else 2 if share < 0.8 else 3}",
                 f"length={min(8, len(t).bit_length())}",
-                f"sentences={min(3, len(_SENTENCE.findall(t[:2000])))}",
+                f"sentences={sum(1 for _ in islice(_SENTENCE.finditer(t), 3))}",
             ]
             above.append(inherited)
         else:

@@ -278,6 +278,15 @@ def test_marginals_against_enumeration():
     assert np.allclose(model.marginals(page), sums / total, atol=1e-9)
 
 
+def test_pages_that_leave_the_head_open():
+    leaves = lambda source: [t for t in html_extract.parse(source).text if t is not None]
+    for head in ("<head><title>t</title>", "<html><head><meta charset=x><script>s</script>", "<head><noscript><style>q</style>", "<title>t</title><noscript><link rel=x>", "<head><title>t</title><body>", "<head><noscript><img src=x>n</noscript></head>", "<head></head>"):
+        assert leaves(head + "<article><p>text one.<p>two</article><noscript>no</noscript>") == ["text one.", "two"], head
+    assert leaves("<head><title>t</title> bare <p>text") == ["bare", "text"] and leaves("<head><noscript>n</noscript><title>t</title>") == []
+    page = html_extract.parse("<p>" + "word " * 500 + "One. Two. Three.")
+    assert "sentences=3" in html_extract.node_features(page)[2]
+
+
 def test_extraction_of_the_table(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract_main_text(pages).collect()}
