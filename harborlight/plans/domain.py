@@ -503,6 +503,15 @@ def sanitize_counts(spark, d):
     return sanitized(rows, "text").select("doc_id", "control_tokens", "injections", "truncated")
 
 
+@register("sanitize_counts_all")
+def sanitize_counts_all(spark, d):
+    """Whole texts, of which the SQL of ``sanitize_counts`` sees the first 300 characters."""
+    from ..functions.sanitize import sanitized
+
+    rows = spark_sql(spark, d, f"SELECT doc_id, {_HOSTILE.replace('left(text, 300)', 'text')} AS text FROM @documents@")
+    return sanitized(rows, "text").select("doc_id", "control_tokens", "injections", "truncated")
+
+
 @register("triage_outcomes", """SELECT insight_id, CASE WHEN insight_id % 9 = 0 THEN 'no_advisory' WHEN insight_id % 8 = 1 THEN 'failed' WHEN insight_id % 7 = 2 THEN 'refused' WHEN insight_id % 6 = 3 THEN 'ungrounded'
   WHEN recommendation = 'lower_priority' AND kev_locked_visible THEN 'refused' WHEN recommendation = 'lower_priority' AND insight_id % 2 = 0 THEN 'refused' ELSE 'insight' END AS outcome FROM v_insight""")
 def triage_outcomes(spark, d):
