@@ -171,6 +171,14 @@ def version_order(spark, d):
     return pairs.withColumn("ordering", compare_versions(F.col("left_version"), F.col("right_version")))
 
 
+@register("version_order_all")
+def version_order_all(spark, d):
+    """All pairs, which the SQL of ``version_order`` leaves out in part."""
+    xs = spark_sql(spark, d, _VERSIONS.replace("unnest([", "explode(array(").replace("])", "))"))
+    pairs = xs.select(F.col("x").alias("left_version")).crossJoin(xs.select(F.col("x").alias("right_version")))
+    return pairs.withColumn("ordering", compare_versions(F.col("left_version"), F.col("right_version")))
+
+
 @register("priority_histogram", f"WITH {MATCHES} SELECT priority, priority_rule, count(*) AS n FROM m GROUP BY ALL")
 def priority_histogram(spark, d):
     return matches(spark, d).groupBy("priority", "priority_rule").agg(F.count("*").alias("n"))
@@ -409,6 +417,13 @@ def spine_created(spark, d):
     return spine.append_if_absent(o.filter("observation_id % 10 <> 7"), spine.with_hash(o.filter("observation_id % 10 = 7")), ["observation_id"]).select("observation_id", "content_hash", "created")
 
 
+@register("spine_created_all")
+def spine_created_all(spark, d):
+    """Observations of all types; the SQL of ``spine_created`` writes canonical JSON for one type only."""
+    o = view(spark, d, "v_observation")
+    return spine.append_if_absent(o.filter("observation_id % 10 <> 7"), spine.with_hash(o.filter("observation_id % 10 = 7")), ["observation_id"]).select("observation_id", "content_hash", "created")
+
+
 @register("redact_projection", """WITH x AS (SELECT observation_id, observation_type AS t, payload AS p FROM v_observation)
 SELECT observation_id, CASE t
   WHEN 'open_ports' THEN 'port=' || json_extract_string(p, '$.port') || ',protocol=TCP,service=' || json_extract_string(p, '$.service')
