@@ -8,6 +8,7 @@ logistic model over the sums gives the score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -37,6 +38,8 @@ _REPORTING = frozenset(
     "said says say called quoted quote quoting word term insult slur wrote dit disait mot terme insulte appelé sagte sagt wort "
     "begriff nannte schrieb dijo dice palabra término insulto llamó escribió".split()
 )
+# Multipliers and summands of the sketches' hashes.
+_HASHES = [(np.uint64(x | 1), np.uint64(y)) for x, y in np.random.default_rng(11).integers(1, 2**32, (32, 2)).tolist()]
 
 
 class Automaton:
@@ -224,26 +227,59 @@ def _clean_counts(df: DataFrame, only: frozenset[str]) -> DataFrame:
     return df.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _toxic_counts(df: DataFrame) -> DataFrame:
-    """Contexts per candidate term: documents that have it first between the same two words (copies) count once."""
+def _sketch(data: bytes | None) -> tuple[int, list[int]]:
+    """A key of the text's words, and the least hashes of its three-word passages."""
+    found = _TOKEN.findall((data or b"").decode("utf-8", "replace").lower())
+    passages = {zlib.crc32("|".join(found[i : i + 3]).encode()) for i in range(max(1, len(found) - 2))}
+    x = np.fromiter(passages, np.uint64, len(passages))
+    least = [int(((x * m + a) & np.uint64(0xFFFFFFFF)).min()) for m, a in _HASHES]
+    key = hashlib.blake2b("|".join(found).encode(), digest_size=8).digest()
+    return int.from_bytes(key, "big", signed=True), least
+
+
+def _copies(sketches: dict[int, list[int]]) -> dict[int, int]:
+    """Key of a text -> key of the first text of which it is a copy: half or more of the least hashes are the same."""
+    first: dict[int, int] = {}
+    buckets: dict[tuple, list[int]] = {}
+    for key in sorted(sketches):
+        mine = sketches[key]
+        bands = [(i, mine[i], mine[i + 1]) for i in range(0, len(mine), 2)]
+        near = {k for b in bands for k in buckets.get(b, ())}
+        alike = [k for k in near if 2 * sum(map(int.__eq__, sketches[k], mine)) >= len(mine)]
+        first[key] = min(alike, default=key)
+        if not alike:
+            for b in bands:
+                buckets.setdefault(b, []).append(key)
+    return first
+
+
+def _toxic_counts(df: DataFrame) -> tuple[DataFrame, int]:
+    """Documents per candidate term, and of how many; exact and near copies of a document count once.
+
+    The sketches of the sample (at most about ``MAX_LABELLED`` rows of 32 numbers) are compared at the driver.
+    """
+
+    def sketches(batches):
+        for batch in batches:
+            found = dict(_sketch(t) for t in texts(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["key", "sketch"])
+
+    first = _copies({r["key"]: r["sketch"] for r in df.mapInArrow(sketches, "key long, sketch array<long>").distinct().collect()})
 
     def run(batches):
         for batch in batches:
-            terms, contexts = [], []
+            terms, documents = [], []
             for t in texts(batch.column(0)):
-                found = _TOKEN.findall((t or b"").decode("utf-8", "replace").lower())
-                done: set[str] = set()
-                for i, w in enumerate(found):
-                    if fresh := _candidates([w]) - done:
-                        done |= fresh
-                        terms += fresh
-                        contexts += [zlib.crc32("|".join(found[max(0, i - 1) : i + 2]).encode())] * len(fresh)
+                found = _candidates(_words_of(t))
+                terms += found
+                documents += [first[_sketch(t)[0]]] * len(found)
                 if len(terms) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(contexts, pa.int64())], names=["term", "context"])
-                    terms, contexts = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(contexts, pa.int64())], names=["term", "context"])
+                    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(documents, pa.int64())], names=["term", "document"])
+                    terms, documents = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(documents, pa.int64())], names=["term", "document"])
 
-    return df.mapInArrow(run, "term string, context long").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    counts = df.mapInArrow(run, "term string, document long").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    return counts, len(set(first.values()))
 
 
 def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, tested: int) -> dict[str, int]:
@@ -318,8 +354,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sample = plain.join(F.broadcast(known), "__id").select("text", F.col("__toxic").alias("toxic")).persist()
     try:
         totals = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
-        n_toxic, n_clean = totals.get(True, 0), totals.get(False, 0)
-        bad = _toxic_counts(sample.filter("toxic = 1").select("text"))
+        n_clean = totals.get(False, 0)
+        bad, n_toxic = _toxic_counts(sample.filter("toxic = 1").select("text"))
         tested = bad.count()
         toxic = {r["term"]: r["n"] for r in bad.filter("n >= 3").collect()}
         clean = {r["term"]: r["n"] for r in _clean_counts(sample.filter("toxic = 0").select("text"), frozenset(toxic)).collect()}

@@ -563,6 +563,19 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert again.lexicon == model.lexicon and np.allclose(again.weights, model.weights)
 
 
+def test_one_phrase_in_many_documents_is_learned(spark):
+    r = random.Random(9)
+    filler = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(400)]
+    said = lambda n: " ".join(r.choice(filler) for _ in range(n))
+    rows = [(i, f"{said(30)} you filthy zorgblat get out {said(30)}" if i < 120 else said(60), "en", "a", 0) for i in range(600)]
+    copied = said(30) + " quuxword " + said(30)
+    rows += [(i, copied + f" {i}", "en", "a", 0) for i in range(600, 640)]  # near copies: one document
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i < 120 or i >= 600)) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert "zorgblat" in model.lexicon and "quuxword" not in model.lexicon
+
+
 def test_toxicity_awkward(spark, awkward):
     none = empty(spark, "doc_id long, quality int, toxic int")
     model = toxicity.fit(awkward, none)
