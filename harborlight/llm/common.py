@@ -54,3 +54,26 @@ def map_arrow(df: DataFrame, make, schema: str) -> DataFrame:
                 yield from fn(batch.slice(i, SLICE))
 
     return df.mapInArrow(run, schema)
+
+
+#: Words of 64 bits in the bitmap of :func:`maybe_in`: its size is fixed (16 million bits, 4 MB of rows) whatever the tables.
+BITMAP_WORDS = 1 << 18
+
+
+def maybe_in(rows: DataFrame, key: Column, needed: DataFrame, needed_key: Column, flag: str = "__maybe") -> DataFrame:
+    """``rows`` with a boolean ``flag``: false only where ``key`` (64-bit hashes) is in no row of ``needed``.
+
+    A bitmap of fixed size over the needed keys is broadcast, so no row moves. It tells most rows that are not needed; where
+    very many are needed it tells fewer. An exact join of the flagged rows has to follow.
+    """
+
+    def word(h: Column) -> Column:
+        return F.pmod(h, F.lit(BITMAP_WORDS))
+
+    def bit(h: Column) -> Column:
+        return F.pmod(F.shiftright(h, 18), F.lit(64)).cast("int")
+
+    one = F.lit(1).cast("long")
+    words = needed.select(needed_key.alias("__k")).groupBy(word(F.col("__k")).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", one, bit(F.col("__k")))).alias("__bits"))
+    hit = F.call_function("shiftright", F.coalesce("__bits", F.lit(0).cast("long")), bit(key)).bitwiseAND(one) == 1
+    return rows.withColumn("__word", word(key)).join(F.broadcast(words), "__word", "left").withColumn(flag, hit).drop("__word", "__bits")
