@@ -212,10 +212,37 @@ def test_mixing_large_rates_and_awkward(spark, awkward):
         mixing.mix_sources(docs, weights={"s": -1.0})
 
 
-def test_mixing_beyond_the_broadcast_bound(spark, documents, monkeypatch):
+def test_mixing_without_broadcasts(spark, documents):
     want = sorted(map(str, mixing.mix_digest(documents).collect()))
-    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 3)
-    assert sorted(map(str, mixing.mix_digest(documents).collect())) == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, mixing.mix_digest(documents).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_mixing_counts_are_the_inverse(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"))
+    for rate in (0.3, 1.0, 7.5, 31.0):
+        got = collections.Counter(r.doc_id for r in mixing.mix_digest(docs, total=round(300 * rate)).collect())
+        for i in range(300):
+            u = (int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            k, term = 0, math.exp(-rate)
+            total = term
+            while total < u:
+                k += 1
+                term *= rate / k
+                total += term
+            assert got.get(i, 0) == k
+
+
+def test_mixing_a_rare_source_of_a_huge_rate(spark):
+    docs = spark.createDataFrame([(1, "rare", None, "r", 4)], DOCS).union(spark.range(2, 1002).selectExpr("id", "'t'", "'en'", "'big'", "1L"))
+    out = mixing.mix_digest(docs, total=2_000_000)
+    seen = {r.source: r for r in out.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id", "copy").alias("d"), F.countDistinct("shuffle_key").alias("k")).collect()}
+    for n, d, k in ((r.n, r.d, r.k) for r in seen.values()):
+        assert n == d == k and abs(n - 1_000_000) < 5 * 1000
 
 
 # --- 4 chat ------------------------------------------------------------------------------------------------------------
