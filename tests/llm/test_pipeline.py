@@ -56,3 +56,7 @@ def test_stages(spark, data):
 
     before, after = seen[4]
     assert collections.Counter((r.doc_id) for r in after for _ in range(r.n_tokens)) == collections.Counter(r.doc_id for r in before for _ in range(len(WORD.findall(r.text)) + 1))
+    rows = collections.defaultdict(dict)
+    for r in after:
+        rows[r.row][r.chunk] = (r.doc_id, r.text)
+    assert collections.Counter((p[0][0], "".join(p[c][1] for c in sorted(p))) for p in rows.values()) == collections.Counter((r.doc_id, r.text) for r in before)
