@@ -185,6 +185,78 @@ def test_surrogate_collisions_are_resolved(spark, monkeypatch):
     assert len({r.m for r in made}) == 35 and not {r.m for r in made} & {r.canonical for r in made}
 
 
+def replaced(spark, texts, key=pii.KEY):
+    rows = pii.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key=key).collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_small_layouts_are_permuted(spark):
+    """All 10 000 four-digit secrets, all mailboxes of one letter, a few of a roomy layout and ones without anything to replace."""
+    pins = [f"pwd={i:04d}" for i in range(10_000)]
+    boxes = [f"mail {c}@tiny.example.org now" for c in "abcdefghijklmnopqrstuvwxyz"]
+    other = ["token=zq7Xk2vW93", "secret: ****", "password=ключ1", "pwd=\u5bc6\u7801\u5bc6\u7801", "a@-.com"]
+    out = replaced(spark, pins + boxes + other)
+    made = out[:10_000]
+    assert sorted(made) == pins and not any(a == b for a, b in zip(made, pins, strict=True)) and made[:2_000] != replaced(spark, pins[:2_000], "another")
+    assert len(set(out[10_000:10_026])) == 26 and len({t.split("@")[1] for t in out[10_000:10_026]}) == 1 and "tiny" not in out[10_000]
+    roomy, masked, cyrillic, chinese, odd = out[10_026:]
+    assert re.fullmatch(r"token=[a-z]{2}\d[A-Z][a-z]\d[a-z][A-Z]\d\d", roomy) and roomy != other[0] and masked == other[1]
+    assert re.fullmatch(r"password=[а-я]{4}\d", cyrillic) and cyrillic != other[2] and "\u5bc6" not in chinese and odd != other[4] and odd.endswith(".com")
+
+
+def mod97(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def test_surrogates_keep_validity_and_ranges(spark):
+    accounts = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "DE88 3704 0044 0532 0130 00"]
+    cards = ["4041894974608795", "4041894974608796"]
+    private = ["10.0.0.5", "192.168.7.9", "172.20.1.2", "127.0.0.1", "169.254.3.4", "8.8.4.4", "999.1.2.3"]
+    out = replaced(spark, accounts + cards + private)
+    for old, new in zip(accounts[:2], out[:2], strict=True):
+        assert new != old and new[:2] == old[:2] and [len(g) for g in new.split()] == [len(g) for g in old.split()] and mod97(new.replace(" ", "")) == 1
+        assert re.sub("[A-Z]", "A", re.sub(r"\d", "9", new)) == re.sub("[A-Z]", "A", re.sub(r"\d", "9", old))
+    assert luhn(out[3]) and not luhn(out[4]) and out[3][0] == "4"
+    for old, new, start in zip(private, out[5:], ["10.", "192.168.", "172.20.", "127.", "169.254.", "", ""], strict=True):
+        assert new != old and new.startswith(start)
+    import ipaddress
+
+    assert ipaddress.ip_address(out[10]).is_global and re.fullmatch(r"\d{3}\.\d\.\d\.\d", out[11])
+
+
+def test_names_are_coreferent_across_titles(spark):
+    texts = ["Frau Anna Weber", "Dr. Anna Weber", "Herr Dr. Weber", "Prof Weber and Mr. Paul Weber", "Dr. Paul Weber", "Dr. Kim Weber"]
+    out = replaced(spark, texts)
+    first, last = out[0].split()[1:]
+    assert out[1] == f"Dr. {first} {last}" and out[2] == f"Herr Dr. {last}" and out[3].startswith(f"Prof {last} and Mr. ") and first[-1] == "a"
+    paul = out[3].split()[-2]
+    assert out[4] == f"Dr. {paul} {last}" and paul != first and out[5].split()[1] not in (paul, first, "Kim")
+
+
+def test_surrogates_against_brute_force(spark, documents):
+    """Over a whole table: what is replaced is what the pattern finds, nothing else changes, and replacement is one-to-one."""
+    import regex
+
+    pattern = regex.compile(pii.PATTERN)
+    before = {r.doc_id: r.text or "" for r in documents.collect()}
+    after = {r.doc_id: r for r in pii.surrogate_digest(documents).collect()}
+    assert before.keys() == after.keys()
+    pairs = collections.defaultdict(set)
+    for i, old in before.items():
+        found = [m.group() for m in pattern.finditer(old)]
+        assert (len(found), len(set(found))) == (after[i].n_entities, after[i].n_distinct)
+        if not found:
+            assert after[i].text == old
+            continue
+        m = regex.fullmatch("(.+?)".join(map(regex.escape, pattern.split(old))), after[i].text, regex.S)
+        assert m, old
+        for e, s in zip(found, m.groups(), strict=True):
+            pairs[e].add(s)
+    assert len(pairs) > 15 and all(len(s) == 1 for s in pairs.values())
+    made = collections.Counter(next(iter(s)) for s in pairs.values())
+    assert max(made.values()) == 1 and not set(made) & set(pairs)
+
+
 # --- 3 mixing ----------------------------------------------------------------------------------------------------------
 
 
@@ -396,6 +468,53 @@ def test_buckets(spark, documents, awkward):
     assert length_buckets.pack_lengths(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("max_len", [3, 7, 300])
+def test_sequences_are_the_whole_texts(spark, documents, awkward, max_len):
+    """Each sequence is its words of the document, and a row's sequences together are its text."""
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "a b c", " a b c ", "a b c d\n\n", "", None, "  \t", "a b c d e f g", "é\x85 \x0bz"])], "doc_id long, text string")
+    for df in (documents.limit(60), odd, awkward):
+        texts = collections.Counter((r.doc_id, r.text or "") for r in df.collect())
+        rows = collections.defaultdict(list)
+        for r in length_buckets.pack_lengths(df, max_len=max_len, budget=900).collect():
+            rows[r.row].append(r)
+        assert sum(texts.values()) == len(rows)
+        got = collections.Counter()
+        for parts in rows.values():
+            parts.sort(key=lambda r: r.chunk)
+            assert [r.chunk for r in parts] == list(range(len(parts))) and len({r.doc_id for r in parts}) == 1
+            whole = "".join(r.text for r in parts)
+            words = WORD.findall(whole) + [None]
+            at = 0
+            for r in parts:
+                assert r.n_tokens == min(max_len, len(words) - at) and WORD.findall(r.text) == [w for w in words[at : at + r.n_tokens] if w is not None]
+                at += r.n_tokens
+            assert at == len(words)
+            got[parts[0].doc_id, whole] += 1
+        assert got == texts
+
+
+def test_batches_against_plain_packing(spark, documents):
+    """Every batch of a bucket is full (but a shard's last one), slots are distinct, and all padding is what the boundaries say."""
+    out = length_buckets.pack_lengths(documents, max_len=300, buckets=5, budget=2_000).collect()
+    lengths = collections.Counter()
+    for r in documents.collect():
+        n = len(WORD.findall(r.text or "")) + 1
+        lengths.update([300] * ((n - 1) // 300) + [n - (n - 1) // 300 * 300])
+    bounds = length_buckets.optimal_boundaries(dict(lengths), 5)
+    assert collections.Counter(r.n_tokens for r in out) == lengths and all(r.bucket_len == min(b for b in bounds if b >= r.n_tokens) for r in out)
+    batches = collections.defaultdict(list)
+    for r in out:
+        batches[r.bucket_len, r.shard, r.batch].append(r)
+    for (size, _, _), rows in batches.items():
+        assert sorted(r.slot for r in rows) == list(range(len(rows))) and len(rows) <= max(1, 2_000 // size) and size * len(rows) <= max(size, 2_000)
+
+
+def test_a_text_repeated_often_is_no_hot_shard(spark):
+    copies = spark.range(0, 100_000, numPartitions=4).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text each time " * 6).alias("text"))
+    out = length_buckets.pack_lengths(copies).groupBy("bucket_len", "shard").count().collect()
+    assert sum(r["count"] for r in out) == 100_000 and len(out) == -(-100_000 // (16 * (32_768 // 31))) and max(r["count"] for r in out) < 1.1 * 100_000 / len(out)
+
+
 # --- 8 quality ---------------------------------------------------------------------------------------------------------
 
 
