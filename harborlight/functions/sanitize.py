@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 MAX_SOURCE_CHARS, MAX_TEXT_CHARS = 200_000, 8_000
 
 # Fixed patterns: invisible characters, control characters, chat-template tokens, envelope tags, fences.
-INVISIBLE = r"[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁦-⁯ㅤ﻿ﾠ]"
+INVISIBLE = r"[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\u3164\ufeff\uffa0]"
 CONTROL = r"[\x00-\x08\x0b-\x1f\x7f]"
 CONTROL_TOKEN = r"(?im)<\|[a-z0-9_\-]{0,32}\|>|\[/?INST\]|<</?SYS>>|</?s>|^[ \t]{0,8}(?:system|assistant|human|user)[ \t]{0,4}:"
 ENVELOPE_TAG = r"(?i)</?[ \t]{0,4}(?:advisory|advisory_text|context|dossier|evidence|instruction|instructions|prompt|system|untrusted)\b[^>\n]{0,200}>"

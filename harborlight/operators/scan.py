@@ -2,54 +2,38 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _words(text: str) -> list[str]:
-    return [w.strip() for w in text.split(",")]
-
+from ..data import table
 
 FAILURES = ("tripped", "errored", "unreachable")
+#: (signal, value, profile): what marks a device as fragile or robust. A site passes its own rows.
+POLICY = table("scan_policy")
 
 
-@dataclass(frozen=True)
-class Policy:
-    # What marks a device as fragile or robust.
-    vendors: list[str] = field(
-        default_factory=lambda: _words(
-            "axis communications, hikvision, dahua, hanwha, mobotix, vivotek, bosch security, polycom, yealink, grandstream, snom, avaya, brother, zebra, epson, kyocera, "
-            "lexmark, ricoh, canon, american power conversion, apc by schneider, eaton, tridium, honeywell, hid global, ubiquiti, espressif, raspberry pi, texas instruments"
-        )
-    )
-    services: list[str] = field(
-        default_factory=lambda: _words(
-            "_axis-video._tcp, _rtsp._tcp, _ipp._tcp, _ipps._tcp, _printer._tcp, _pdl-datastream._tcp, _scanner._tcp, _sip._udp, _h323._tcp, _hap._tcp, _homekit._tcp, _dahua._tcp"
-        )
-    )
-    fragile_ports: tuple[int, ...] = (554, 8554, 9100, 515, 631, 5060, 1883, 7547, 37777)
-    robust_ports: tuple[int, ...] = (22, 445, 3389, 5432, 3306, 5985)
-    fragile_classes: tuple[str, ...] = ("embedded", "network_device")
-    robust_classes: tuple[str, ...] = ("server", "application")
-    halt_after: int = 3
-
-
-def scan_profile(asset_class: Column, mac_vendor: Column, mdns_services: Column, open_ports: Column, policy: Policy | None = None) -> Column:
-    """``gentle`` or ``standard``; the strongest signal decides, and without any the answer is gentle."""
-    p = policy or Policy()
-    vendor = F.lower(F.coalesce(mac_vendor, F.lit("")))
-    fragile_vendor = F.exists(F.array(*map(F.lit, p.vendors)), lambda m: F.contains(vendor, m))
-    services = F.transform(mdns_services, F.lower)
-    meets = lambda a, values: F.coalesce(F.arrays_overlap(a, F.array(*map(F.lit, values))), F.lit(False))
-    return (
-        F.when(F.coalesce(asset_class.isin(*p.fragile_classes), F.lit(False)), "gentle")
-        .when(F.coalesce(asset_class.isin(*p.robust_classes), F.lit(False)), "standard")
-        .when(fragile_vendor | meets(services, p.services) | meets(open_ports, p.fragile_ports), "gentle")
-        .when(meets(open_ports, p.robust_ports), "standard")
-        .otherwise("gentle")
-    )
+def scan_profile(asset_class: Column, mac_vendor: Column, mdns_services: Column, open_ports: Column, policy: list[dict[str, str]] | None = None) -> Column:
+    """``gentle`` or ``standard``: the first signal that speaks decides, and without any the answer is gentle.
+
+    A known asset class speaks first. Then a part of the vendor's name, an advertised service or an open port that marks
+    fragile devices; a robust port comes last.
+    """
+    rows = POLICY if policy is None else policy
+    values = lambda signal, profile: [r["value"] for r in rows if (r["signal"], r["profile"]) == (signal, profile)]
+    vendor, services = F.lower(F.coalesce(mac_vendor, F.lit(""))), F.transform(mdns_services, F.lower)
+
+    def speaks(signal: str, profile: str) -> Column:
+        known = values(signal, profile)
+        if not known:
+            return F.lit(False)
+        if signal == "asset_class":
+            return asset_class.isin(*known)
+        if signal == "mac_vendor":
+            return F.exists(F.array(*map(F.lit, known)), lambda part: F.contains(vendor, part))
+        return F.arrays_overlap(services, F.array(*map(F.lit, known))) if signal == "mdns_service" else F.arrays_overlap(open_ports, F.array(*(F.lit(int(v)) for v in known)))
+
+    chain = [("asset_class", "gentle"), ("asset_class", "standard"), ("mac_vendor", "gentle"), ("mdns_service", "gentle"), ("open_port", "gentle"), ("open_port", "standard")]
+    return F.coalesce(*[F.when(speaks(*step), step[1]) for step in chain], F.lit("gentle"))
 
 
 def scan_outcome(events: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from harborlight.operators import correlate, reconcile
-from harborlight.operators.priority import RULES, Evidence, Rule, priority_of, with_priority
+from harborlight.operators.priority import TABLE, Row, priority_of, with_priority
 
 SCHEMA = "cve_id string, confidence_state string, kev boolean, epss double, cvss_score double"
 
@@ -34,9 +34,9 @@ def test_wording(spark):
 
 
 def test_floor_holds_whatever_the_rules(spark):
-    wrong = (Rule("odd", "p4", lambda e: F.lit(True), lambda e: ["no"]), *RULES)
+    wrong = [Row("odd", "p4", (), False, None, None, "no"), *TABLE]
     row = spark.createDataFrame([("CVE-1-1", "probable", True, None, None)], SCHEMA)
-    got = row.select(priority_of(Evidence(*[F.col(c) for c in ("cve_id", "confidence_state", "kev", "epss", "cvss_score")]), wrong).alias("p")).first().p
+    got = row.select(priority_of(*[F.col(c) for c in ("cve_id", "confidence_state", "kev", "epss", "cvss_score")], wrong).alias("p")).first().p
     assert (got.priority, got.priority_rule) == ("p2", "kev-floor") and "'odd' would have given P4" in got.priority_reason
 
 
