@@ -25,7 +25,6 @@ from .wordscan import texts
 
 #: At most about so many labelled rows (chosen by a hash of their id) are used to fit.
 MAX_LABELLED = 20_000
-MAX_TERMS = 2_000
 LEAST_LENGTH, STEMS = 4, range(4, 8)
 WINDOW = 6
 FOLDS = 5
@@ -170,7 +169,7 @@ class Model:
     innocent: frozenset[str]
     weights: np.ndarray
 
-    #: Prior weights: intercept, exact and misspelled hits, both in quotation, share of words hit.
+    #: Prior weights: intercept, exact and misspelled hits, both in quotation, hits in ten words.
     PRIOR = (-3.0, 4.0, 2.0, 1.0, 0.5, 0.5)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -210,7 +209,7 @@ def features(data: bytes | None, auto: Automaton, known: dict[str, tuple[str, in
             hits += 1
             sums[(2 if quoted or n - recent <= WINDOW else 0) + (found[1] > 0)] += 1
         n += 1
-    return [1.0, *(math.log1p(min(s, 50)) for s in sums), min(1.0, 10 * hits / n)]
+    return [1.0, *(math.log1p(s) for s in sums), 10 * hits / n]
 
 
 def _clean_counts(df: DataFrame, only: frozenset[str]) -> DataFrame:
@@ -285,6 +284,7 @@ def _toxic_counts(df: DataFrame) -> tuple[DataFrame, int]:
 def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, tested: int) -> dict[str, int]:
     """Terms far likelier in toxic documents than chance explains; stems only where several words share them.
 
+    All such terms are taken: the lexicon is bounded by the sample that it is learned from, not by a number of its own.
     The words that make a stem stay beside it: a short stem allows no edit, its words do.
     """
     if not n_toxic:
@@ -309,7 +309,7 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
     good = {s for s in good if not any(s[:n] in good for n in STEMS if n < len(s))}
     words = {t for t in odds if not t.endswith("*") and not any(t[:n] in good for n in STEMS if n <= len(t))}
     ranked = sorted([(odds[s + "*"], s, True) for s in good] + [(odds[w], w, False) for w in words], key=lambda x: (-x[0], x[1]))
-    lexicon = {t: int(is_stem) for _, t, is_stem in ranked[:MAX_TERMS]}
+    lexicon = {t: int(is_stem) for _, t, is_stem in ranked}
     for t, a in toxic.items():
         if not t.endswith("*") and clean.get(t, 0) <= 0.2 * a and any(lexicon.get(t[:n]) for n in STEMS if n <= len(t)):
             lexicon[t] = 2 if lexicon.get(t) else 0
@@ -341,7 +341,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Learn lexicon and weights from a bounded sample of labelled rows outside the held-out fold.
 
     Rows without a label or id take no part; a document labelled twice is toxic if one label says so. Without labels the
-    lexicon is empty and the prior weights hold.
+    lexicon is empty and the prior weights hold. ``max_labelled`` is the one bound: counts are over the whole sample and
+    whole texts.
     """
     ids = F.col("doc_id").cast("long")
     known = labels.select(ids.alias("__id"), F.col("toxic").cast("int").alias("__toxic")).filter("__id is not null and __toxic is not null")
