@@ -87,7 +87,6 @@ def chat_digest(turns: DataFrame) -> DataFrame:
         "n_turns",
         masked.alias("reply"),
         F.length("formatted").cast("long").alias("chars"),
-        (F.col("loss_end") > F.col("loss_start")).alias("trains"),
         "formatted",
     )
     # only the longest example has all turns; it is parsed after the conversation's rows have met

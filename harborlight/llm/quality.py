@@ -107,7 +107,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     * The verdict: a text is dropped if it fails the base rule (under 20 words, or over 30 % of words inside repeated
       8-word windows), if the most frequent n-gram of 2 to 4 words, all repeated n-grams of 5 to 10 words, or repeated
       lines hold more of its characters than ``limits`` allow.
-    * Narrow: rows stay where they are, nothing is shuffled, one text is in memory at a time.
+    * Narrow: rows stay where they are, nothing is shuffled. In memory are an Arrow batch of texts and, besides, the word
+      hashes of one text at a time.
     """
     limits = limits or Limits()
 
