@@ -31,12 +31,17 @@ BLOCKS = frozenset(
     "html body main article section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
     "caption blockquote pre figure figcaption form fieldset legend address details summary dialog center hgroup search menu noscript".split()
 )
-RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp template".split())
+#: Skipped elements that a page may forget to close: then they end at the next block. The first ones may hold one another.
+NESTING = frozenset("svg math object noscript".split())
+FORGETTABLE = NESTING | frozenset("select button datalist audio video canvas".split())
 SKIPPED = frozenset("head script style textarea iframe noembed noframes template svg math select button datalist object audio video canvas noscript".split())
 #: Elements that leave the head open. A noscript of the head ends at its own end tag, unless one of the others comes first.
 METADATA = frozenset("html head title meta link base basefont bgsound script style template noframes noscript".split())
 _NOSCRIPT_END = re.compile(r"(?i)<(/?noscript|/?head|/?body)\b")
 _CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+#: Blocks whose end tags pages do not leave out.
+_ALWAYS_CLOSED = BLOCKS - frozenset("html body p li dt dd tr td th thead tbody tfoot caption noscript".split())
 _STOP_AT = frozenset("ul ol dl table td th div article section body html blockquote".split())
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|<[/a-zA-Z!?][^>]*\Z",
@@ -78,12 +83,66 @@ def _attribute_words(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+def _tags(source: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, is an end tag, attributes) of the tags of a page, without those inside raw text and comments."""
+    out, pos, n = [], 0, len(source)
+    while pos < n and (m := _MARK.search(source, pos)):
+        pos = m.end()
+        name = (m[2] or m[5] or "").lower()
+        closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
+        if name in RAW and not closing and not attrs.endswith("/"):
+            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, pos)
+            pos = end.end() if end else n
+        out.append((m.start(), pos, name, closing, attrs))
+    return out
+
+
+def _forgotten(tags: list[tuple[int, int, str, bool, str]]) -> set[int]:
+    """Numbers of the tags that open an element which is never closed, or not before the block around it ends.
+
+    An element that cannot hold its like is not closed either if the next of its kind opens first.
+    """
+    lost: set[int] = set()
+    waiting: list[int] = []  # open blocks and forgettable elements
+    open_now: Counter = Counter()
+    for i, (_, _, name, closing, attrs) in enumerate(tags):
+        if name not in FORGETTABLE and name not in _ALWAYS_CLOSED:
+            continue
+        if closing:
+            while open_now[name]:
+                x = waiting.pop()
+                other = tags[x][2]
+                open_now[other] -= 1
+                if other == name:
+                    break
+                if other in FORGETTABLE:
+                    lost.add(x)
+        elif not attrs.endswith("/"):
+            if open_now[name] and name in FORGETTABLE - NESTING:
+                for j in range(len(waiting) - 1, -1, -1):
+                    other = tags[waiting[j]][2]
+                    if other == name:
+                        lost.add(waiting.pop(j))
+                        open_now[name] -= 1
+                        break
+                    if other in BLOCKS:
+                        break
+            waiting.append(i)
+            open_now[name] += 1
+    return lost | {x for x in waiting if tags[x][2] in FORGETTABLE}
+
+
 def parse(source: str) -> Page:
-    """The tree of a page. Unclosed and stray tags are mended as browsers do; comments, scripts and the like are left out."""
+    """The tree of a page. Unclosed and stray tags are mended as browsers do; comments, scripts and the like are left out.
+
+    A button, drawing, player and the like that is never closed ends at the next block (where browsers would let it go on):
+    what is left out must not take the rest of the page with it.
+    """
     page = Page()
     stack: list[tuple[str, int]] = [("html", page.add(-1, "html"))]
     skip = 0  # depth of skipped elements
     skipped: list[str] = []
+    muted = False  # inside an element that was never closed
     in_head = True  # until an end of the head that the page may leave to be understood
     piece: list[str] = []
     linked = 0
@@ -108,37 +167,37 @@ def parse(source: str) -> Page:
         nonlocal linked
         if in_head and raw.strip(" \t\n\f\r\ufeff"):
             leave_head()
-        if raw and not skip:
+        if raw and not skip and not muted:
             t = html.unescape(raw) if "&" in raw else raw
             piece.append(t)
             if in_link:
                 linked += len(t.strip())
 
-    pos, n = 0, len(source)
-    while pos < n:
-        m = _MARK.search(source, pos)
-        if not m:
-            say(source[pos:])
-            break
-        say(source[pos : m.start()])
-        pos = m.end()
-        name = m[2] or m[5]
+    tags = _tags(source)
+    forgotten = _forgotten(tags) if any(t[2] in FORGETTABLE for t in tags) else ()
+    pos = 0
+    for i, (start, end, name, closing, attrs) in enumerate(tags):
+        if start < pos:
+            continue
+        say(source[pos:start])
+        pos = end
         if not name:
             continue
-        name, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if in_head and (name in ("body", "html", "br") if closing else name not in METADATA):
             leave_head()
         elif in_head and name == "noscript" and not closing:
-            end = _NOSCRIPT_END.search(source, pos)
-            if end and end[1].lower() == "/noscript":
-                pos = end.start()
+            stop = _NOSCRIPT_END.search(source, pos)
+            if stop and stop[1].lower() == "/noscript":
+                pos = stop.start()
+        if name in BLOCKS and name != "noscript":
+            muted = False
         if name in RAW and not closing and not attrs.endswith("/"):
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, pos)
-            pos = end.end() if end else n
             continue
         if name in SKIPPED:
             flush() if name in ("head", "noscript") else None
-            if not closing and not attrs.endswith("/"):
+            if i in forgotten and not in_head and not skip:
+                muted = True
+            elif not closing and not attrs.endswith("/"):
                 skipped.append(name)
                 skip += 1
             elif closing and name in skipped:
@@ -157,26 +216,27 @@ def parse(source: str) -> Page:
         elif name in BLOCKS:
             flush()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+                for j in range(len(stack) - 1, 0, -1):
+                    if stack[j][0] == name:
+                        del stack[j:]
                         break
             else:
                 while len(stack) > 1:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if name in _CLOSED_BY.get(stack[i][0], ()):
-                            del stack[i:]
+                    for j in range(len(stack) - 1, 0, -1):
+                        if name in _CLOSED_BY.get(stack[j][0], ()):
+                            del stack[j:]
                             break
-                        if stack[i][0] in _STOP_AT:
-                            i = 0
+                        if stack[j][0] in _STOP_AT:
+                            j = 0
                             break
                     else:
-                        i = 0
-                    if not i:
+                        j = 0
+                    if not j:
                         break
                 if name == "html":
                     continue
                 stack.append((name, page.add(stack[-1][1], name, _attribute_words(attrs))))
+    say(source[pos:])
     flush()
     return page
 
