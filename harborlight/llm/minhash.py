@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, in_row, key_to_id, map_arrow, pack_row, stored, unpack_row
+from .common import doc_key, in_row, key_to_id, map_arrow, maybe_in, pack_row, stored, unpack_row
 from .components import components
 from .wordscan import mix64, texts, windows, words
 
@@ -131,24 +131,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def narrowed(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """The documents whose id is in ``needed``, without moving the texts of most others.
-
-    A bitmap of 2**24 hashed ids (2**18 words of 64 bits, so its size is fixed) is broadcast and lets through few others;
-    the exact semi-join sees only what is left. Where very many ids are needed it lets more through, and results stay equal.
-    """
+    """The documents whose id is in ``needed``, without moving the texts of most others (see :func:`~.common.maybe_in`)."""
     needed = stored(needed)
-
-    def word(h):
-        return F.pmod(h, F.lit(1 << 18))
-
-    def bit(h):
-        return F.pmod(F.shiftright(h, 18), F.lit(64)).cast("int")
-
-    h = F.xxhash64("id")
-    one = F.lit(1).cast("long")
-    words_ = needed.groupBy(word(h).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", one, bit(h))).alias("__bits"))
-    likely = docs.withColumn("__word", word(h)).join(F.broadcast(words_), "__word")
-    likely = likely.filter(F.call_function("shiftright", F.col("__bits"), bit(h)).bitwiseAND(one) == 1)
+    likely = maybe_in(docs, F.xxhash64("id"), needed, F.xxhash64("id")).filter("__maybe")
     return likely.select("id", "text").join(needed, "id", "left_semi")
 
 
@@ -247,22 +232,40 @@ def _block_links(similarity: float):
 
 
 def _across(shared: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links between different components that share a bucket, from buckets still in several components."""
-    placed = shared.join(labels, shared.rep == labels.id, "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("comp"))
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        .filter("m > 2 and lo < hi")
-        .select("key", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    """Links between different components that share a bucket, from buckets still in several components.
+
+    A bucket is cut into blocks of about ``BLOCK`` shingles. Components that fill a block have blocks of their own, all others
+    share the pool's; blocks of one component never meet. So a large group of near copies and a few texts beside it cost one
+    pass over the group, and only components that are large themselves meet block by block.
+    """
+    placed = stored(shared.join(labels, shared.rep == labels.id, "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("comp")))
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("mass"))
+    large, blocks = F.col("mass") >= BLOCK, F.ceil(F.col("mass") / BLOCK).cast("int")
+    # of each bucket only its large components are listed: one for BLOCK shingles at most
+    mixed = per.groupBy("key").agg(
+        F.count("*").alias("components"),
+        F.sum("m").alias("m"),
+        F.ceil(F.coalesce(F.sum(F.when(~large, F.col("mass"))), F.lit(0)) / BLOCK).cast("int").alias("pool"),
+        F.sort_array(F.collect_list(F.when(large, F.struct("comp", blocks.alias("blocks"))))).alias("large"),
+    )
+    begin = F.struct(F.col("pool").alias("upto"), F.array().cast("array<struct<comp:bigint,lo:int,hi:int>>").alias("parts"))
+    laid = F.aggregate(
+        "large",
+        begin,
+        lambda a, c: F.struct((a["upto"] + c["blocks"]).alias("upto"), F.concat(a["parts"], F.array(F.struct(c["comp"].alias("comp"), a["upto"].alias("lo"), (a["upto"] + c["blocks"]).alias("hi")))).alias("parts")),
     )
-    rows = stored(placed.join(stored(mixed), "key").select("key", "rep", "comp", "blocks"))
+    mixed = stored(mixed.filter("m > 2 and components > 1").select("key", "pool", laid.alias("laid")))
+    mine = F.try_element_at(F.filter("laid.parts", lambda p: p["comp"] == F.col("comp")), F.lit(1))
+    rows = placed.join(mixed, "key").select("key", "rep", "comp", "pool", F.col("laid.upto").alias("blocks"), mine.alias("own"))
+    block = F.when(F.col("own").isNull(), F.pmod(F.hash("rep"), F.col("pool"))).otherwise(F.col("own.lo") + F.pmod(F.hash("rep"), F.col("own.hi") - F.col("own.lo")))
+    rows = stored(rows.select("key", "rep", "comp", "blocks", block.alias("block"), F.coalesce("own.lo", F.lit(0)).alias("lo"), F.coalesce("own.hi", F.lit(0)).alias("hi")))
     needed = rows.select(F.col("rep").alias("id")).distinct()
     sets = stored(_sets(narrowed(docs, needed), size)).withColumnRenamed("id", "rep")
     rows = rows.join(reps.select("rep", "bands").join(sets, "rep"), "rep")
-    mine = F.pmod(F.hash("rep"), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o < F.col("lo")) | (o >= F.col("hi")))
     pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)).alias("block"), F.when(mine > other, 1).otherwise(0).alias("side")),
+        others,
+        lambda other: F.struct(F.xxhash64("key", F.least("block", other), F.greatest("block", other)).alias("block"), F.when(F.col("block") > other, 1).otherwise(0).alias("side")),
     )
     rows = rows.select("key", "rep", "comp", "bands", "set", F.explode(pairs).alias("p")).select("p.block", "p.side", "key", "rep", "comp", "bands", "set")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_block_links(similarity), "a long, b long").distinct()
@@ -290,7 +293,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = _confirmed(stored(_likely(star, reps, similarity)), plain, size, similarity)
     labels = components(links)
     links = links.union(stored(_across(shared, reps, labels, plain, size, similarity)))
-        # rows that repeat an id with another text join the versions
+    # rows that repeat an id with another text join the versions
     versions = full.join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     if feats.groupBy("id").count().filter("count > 1").limit(1).count():
         links = links.union(versions)
