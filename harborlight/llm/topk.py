@@ -3,6 +3,10 @@
 Candidates lie in vertical layout (one row per dimension, the dimensions of most energy first). Inner products grow
 dimension block by dimension block; after each block the mass left on both sides bounds what a candidate can still gain
 (Cauchy-Schwarz), and candidates whose bound lies below the k-th best known score are compacted away.
+
+The candidates are searched in rounds, each over ``GROWTH`` times as many as all before it. After a round every query knows
+the k-th best score so far; the next round's parts begin with that bound and give back only what reaches it, about
+``GROWTH * k`` rows of a query however many parts there are.
 """
 
 from __future__ import annotations
@@ -12,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Candidates and queries of a task, about; tasks there are at least, so that small tables spread too.
 PART_ROWS, QUERY_ROWS, LEAST_PARTS = 4096, 4096, 24
 QUERY_SLICE = 128
+GROWTH = 16
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -59,7 +66,8 @@ class Searcher:
         mass = (f.T[self.order]) ** 2
         self.left = np.stack([np.sqrt(mass[e:].sum(0)) for e in self.cuts[1:]]) if dim else np.zeros((0, n))
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int):
+    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray | None = None):
+        """``floors``: scores below which a query wants nothing (NaN: none)."""
         q = q[:, self.order]
         f = q.astype(np.float64) ** 2
         q_left = np.stack([np.sqrt(f[:, e:].sum(1)) for e in self.cuts[1:]]) if len(self.cuts) > 1 else np.zeros((0, len(q)))
@@ -68,18 +76,19 @@ class Searcher:
             end = self.cuts[1] if len(self.cuts) > 1 else 0
             first = q[part, :end] @ self.columns[:end] if end else np.zeros((len(q[part]), len(self.ids)), np.int64)
             for i, sums in enumerate(first, s):
-                yield i, *self._one(q_ids[i], q[i], q_left[:, i], sums, k)
+                floor = None if floors is None or np.isnan(floors[i]) else float(floors[i])
+                yield i, *self._one(q_ids[i], q[i], q_left[:, i], sums, k, floor)
 
-    def _one(self, q_id: int, q: np.ndarray, q_left: np.ndarray, sums: np.ndarray, k: int):
+    def _one(self, q_id: int, q: np.ndarray, q_left: np.ndarray, sums: np.ndarray, k: int, floor: float | None):
         own = np.searchsorted(self.ids, q_id)
         at = np.arange(len(self.ids))
         if own < len(self.ids) and self.ids[own] == q_id:
             at = np.delete(at, own)
             sums = np.delete(sums, own)
-        worst = None
+        worst = floor
         for b in range(1, len(self.cuts) - 1):
             slack = q_left[b - 1] * self.left[b - 1][at] * (1 + 1e-9) + 0.5
-            if len(at) > k:
+            if len(at) > k or worst is not None:
                 if worst is None:  # complete the most promising to have a score that k candidates reach
                     some = np.argpartition(sums, len(sums) - k)[-k:]
                     rest = slice(self.cuts[b], None)
@@ -91,6 +100,9 @@ class Searcher:
                     worst = max(worst, float(np.partition(low, len(low) - k)[len(low) - k]))
             dims = slice(self.cuts[b], self.cuts[b + 1])
             sums = sums + q[dims] @ self.columns[dims, at]
+        if floor is not None:
+            keep = sums >= floor
+            at, sums = at[keep], sums[keep]
         if len(at) > k:
             edge = np.partition(sums, len(sums) - k)[len(sums) - k]
             keep = sums >= edge
@@ -104,12 +116,14 @@ def _cell(k: int, scale: float, block: int):
         dim = t.column("dim")[0].as_py()
         ids, asks = t.column("id").to_numpy(), t.column("asks").to_numpy()
         m = _integers(t.column("vec"), dim, scale)
+        floor_of = {int(i): f for i, f in zip(ids[asks], t.column("floor").filter(pa.array(asks)).to_pylist(), strict=True) if f is not None}
         q_ids, q = _unique_rows(ids[asks], m[asks])
+        floors = np.array([floor_of.get(int(i), np.nan) for i in q_ids], np.float64)
         c_ids, c = _unique_rows(ids[~asks], m[~asks])
         found: list[tuple] = []
         if len(q_ids) and len(c_ids):
             q, c = _exactly(q, c)
-            for i, vecs, scores in Searcher(c_ids, c, block).search(q_ids, q, k):
+            for i, vecs, scores in Searcher(c_ids, c, block).search(q_ids, q, k, floors):
                 found.append((np.full(len(vecs), q_ids[i]), vecs, scores))
         cols = [np.concatenate([f[j] for f in found]) if found else np.empty(0) for j in range(3)]
         scores = [min(max(int(x), -(2**63)), 2**63 - 1) for x in cols[2]] if cols[2].dtype == object else cols[2].astype(np.int64)
@@ -144,11 +158,30 @@ def exact_topk(
     rows = rows.withColumn("dim", F.size("vec"))
     n = rows.agg(F.count("*").alias("all"), F.count_if("asks").alias("asks")).first()
     parts, blocks = max(LEAST_PARTS, -(-n["all"] // PART_ROWS)), max(1, -(-n["asks"] // QUERY_ROWS))
-    cand = rows.select("id", "dim", "vec", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
-    asks = rows.filter("asks").select("id", "dim", "vec", "asks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int").alias("qb"))
-    near = cand.unionByName(asks).groupBy("dim", "part", "qb").applyInArrow(_cell(k, scale, block), RESULT)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("floor", F.lit(None).cast("double"))
+    ends = [parts]
+    while ends[0] > 1:
+        ends.insert(0, -(-ends[0] // GROWTH))
+    best, floors = None, None
+    for low, high in zip([0, *ends], ends, strict=False):
+        cand = rows.filter((F.col("part") >= low) & (F.col("part") < high)).select("id", "dim", "vec", F.lit(False).alias("asks"), "floor", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
+        asks = rows.filter("asks")
+        if floors is not None:
+            asks = asks.drop("floor").join(floors, "id", "left")
+        some = F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))
+        asks = asks.select("id", "dim", "vec", "asks", "floor", F.explode(some).alias("part"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int").alias("qb"))
+        near = cand.unionByName(asks).groupBy("dim", "part", "qb").applyInArrow(_cell(k, scale, block), RESULT)
+        best = _best(near if best is None else near.unionByName(best.select(*near.columns)), k)
+        if high < parts:
+            best = stored(best)
+            # scores beyond 2**53 are not exact as a double, and those at the end of the range may be larger than they say
+            floors = best.filter((F.col("rank") == k) & (F.abs("score") < 2**53)).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+    return best
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """
