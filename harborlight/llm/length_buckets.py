@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN
 
 MAX_LEN, BUCKETS, BUDGET = 2048, 12, 32_768
-#: Rows of a shard (a part of a bucket whose batches form in one task), about, and batches it has at least.
-SHARD_ROWS, SHARD_BATCHES = 4096, 16
+#: Batches of a shard, about: a part of a bucket whose batches form in one task.
+SHARD_BATCHES = 16
 
 
 def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -112,7 +112,7 @@ def pack_lengths(
     bucket, shards = F.lit(None).cast("long"), F.lit(1).cast("long")
     for upper, lower in zip(reversed(bounds), [*reversed(bounds[:-1]), 0], strict=True):
         members = sum(v for k, v in histogram.items() if lower < k <= upper)
-        size = max(SHARD_ROWS, SHARD_BATCHES * max(1, budget // upper))
+        size = SHARD_BATCHES * max(1, budget // upper)
         bucket = F.when(F.col("n_tokens") <= upper, F.lit(upper).cast("long")).otherwise(bucket)
         shards = F.when(F.col("n_tokens") <= upper, F.lit(-(-members // size) or 1).cast("long")).otherwise(shards)
     rows = rows.select("doc_id", "row", "all", F.posexplode(slices(F.col("text"), F.col("all"), max_len)).alias("chunk", "text"))
