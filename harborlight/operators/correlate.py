@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.version import IN_RANGE, INCONCLUSIVE, OUT_OF_RANGE, is_concrete, parse_cpe, tokens, tokens_in_range
+from ..storage import stored
 from .priority import with_priority
+from .store import VersionedTable
 
 IDENTITY = ["part", "vendor", "product"]
 BOUNDS = ["start_including", "start_excluding", "end_including", "end_excluding"]
+#: Pairs of a version and a criterion in one salt of a product, about.
+PAIRS = 50_000
 # Sources that state what is installed.
 GROUND_TRUTH = ["package_manager", "vendor_api"]
 
@@ -58,9 +62,15 @@ def version_verdicts(components: DataFrame, criteria: DataFrame) -> DataFrame:
     # tokens are cut once per criterion and once per version, not once per pair
     cut = [x for i, b in enumerate(bounds) for x in (F.coalesce(b != "", F.lit(False)).alias(f"h{i}"), tokens(b).alias(f"t{i}"))]
     named = named.select("cve_id", "pos", "criteria", "c.part", "c.vendor", "c.product", *cut)
+    # a product of many versions and many criteria is dealt over salts, about PAIRS pairs each; its criteria go to each of them
+    sizes = versions.groupBy(*IDENTITY).agg(F.count("*").alias("nv")).join(named.groupBy(*IDENTITY).agg(F.count("*").alias("nc")), IDENTITY)
+    hot = sizes.filter(F.col("nv") * F.col("nc") > PAIRS).select(*IDENTITY, F.ceil(F.col("nv") * F.col("nc") / PAIRS).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = versions.join(hot, IDENTITY, "left").select(*versions.columns, F.pmod(F.hash("compared"), salts).alias("salt"))
+    named = named.join(hot, IDENTITY, "left").select(*named.columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     # verdicts cost CPU, not bytes: keep the partitions that coalescing by size would merge
     n = int(components.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = versions.withColumn("mine", tokens(F.col("compared"))).repartition(n, *IDENTITY).join(named, IDENTITY)
+    pairs = dealt.withColumn("mine", tokens(F.col("compared"))).repartition(n, *IDENTITY, "salt").join(named, [*IDENTITY, "salt"])
     pairs = pairs.withColumn("verdict", tokens_in_range(F.col("mine"), [(F.col(f"h{i}"), F.col(f"t{i}")) for i in range(4)]))
     hit = F.struct("pos", "criteria")
     per = pairs.groupBy(*IDENTITY, "compared", "cve_id").agg(
@@ -84,9 +94,9 @@ def correlate(components: DataFrame, assets: DataFrame, criteria: DataFrame, cve
     ``kev`` and ``epss`` must be whole snapshots: a CVE that is not in them counts as not listed, so a missing snapshot has to
     be refused before (see :func:`require_snapshot`). Both are looked up by left joins whose side Spark broadcasts by size.
     """
-    rows = correlatable(components, assets).filter("cpe_name is not null")
-    rows = rows.select("tenant_id", "asset_id", "component_id", "name", "version_source", "compared", *[F.col(f"cpe_name.{c}").alias(c) for c in IDENTITY])
-    hits = version_verdicts(correlatable(components, assets), criteria).filter("verdict is not null")
+    parsed = stored(correlatable(components, assets).filter("cpe_name is not null"))
+    rows = parsed.select("tenant_id", "asset_id", "component_id", "name", "version_source", "compared", *[F.col(f"cpe_name.{c}").alias(c) for c in IDENTITY])
+    hits = version_verdicts(parsed, criteria).filter("verdict is not null")
     pairs = rows.withColumn("v", F.coalesce("compared", F.lit("\0"))).join(hits.withColumn("v", F.coalesce("compared", F.lit("\0"))).drop("compared"), [*IDENTITY, "v"])
     listed = kev.select("cve_id").distinct().withColumn("listed", F.lit(True))
     scored = epss.select("cve_id", F.col("score").alias("epss"))
@@ -136,3 +146,61 @@ def require_snapshot(manifest: DataFrame, source: str, as_of: Column, max_age_ho
     fresh = manifest.filter((F.col("source") == source) & (F.col("record_count") > 0) & (F.col("fetched_at") > as_of - F.make_interval(hours=F.lit(max_age_hours))))
     if not fresh.limit(1).count():
         raise LookupError(f"no fresh snapshot of {source}; its absence must not read as 'not listed'")
+
+
+KEY = ["tenant_id", "asset_id", "cve_id", "matched_cpe"]
+
+
+def fresh_snapshot(manifest: DataFrame, source: str, as_of: Column, max_age_hours: int) -> bool:
+    """Whether :func:`require_snapshot` would pass."""
+    try:
+        require_snapshot(manifest, source, as_of, max_age_hours)
+    except LookupError:
+        return False
+    return True
+
+
+class MatchTable(VersionedTable):
+    """The matches in force, partitioned by tenant: correlated once, read by every worklist, inventory and queue.
+
+    A read of one tenant opens that tenant's partition only.
+    """
+
+    def __init__(self, spark, path: str):
+        super().__init__(spark, path, ("tenant_id",))
+
+    def read(self) -> DataFrame:
+        return super().read().withColumn("tenant_id", F.col("tenant_id").cast("long")).withColumn("match_id", F.concat_ws("|", "asset_id", "cve_id", "matched_cpe"))
+
+    def record(self, found: DataFrame) -> DataFrame:
+        """Put the matches of a run in force (keys seen before are updated, others stay) and say which keys are new."""
+        batch = current_matches(found)
+        if not self.version():
+            state = batch.withColumn("created", F.lit(True))
+        else:
+            old = self.read().drop("match_id").select(*batch.columns).withColumn("__old", F.lit(True))
+            rest = [c for c in batch.columns if c not in KEY]
+            both = old.select(*KEY, F.struct(*rest).alias("o")).join(batch.select(*KEY, F.struct(*rest).alias("n")), KEY, "full")
+            picked = F.coalesce("n", "o")
+            created = F.when(F.col("n").isNotNull(), F.col("o").isNull())
+            state = both.select(*KEY, picked.alias("v"), created.alias("created")).select(*KEY, *[F.col(f"v.{c}").alias(c) for c in rest], "created").select(*batch.columns, "created")
+        state = stored(state)
+        self.replace(state.drop("created").hint("rebalance", "tenant_id"))
+        return state.filter("created is not null").select(*KEY, "created")
+
+
+def correlation_run(
+    table: MatchTable, components: DataFrame, assets: DataFrame, criteria: DataFrame, cves: DataFrame, kev: DataFrame, epss: DataFrame, manifest: DataFrame, as_of: Column, *, kev_hours: int = 6, epss_hours: int = 24
+) -> DataFrame:
+    """Correlate, record, and give the counters of the run as one row, ``failed`` and ``new_matches`` among them.
+
+    A missing or stale snapshot of either signal must not read as "not listed": then no match is recorded, and every component
+    that some vulnerability applies to has failed; the others have been correlated.
+    """
+    ready = fresh_snapshot(manifest, "kev", as_of, kev_hours) and fresh_snapshot(manifest, "epss", as_of, epss_hours)
+    found = stored(correlate(components, assets, criteria, cves, kev, epss))
+    failed = found.agg(F.count_distinct("tenant_id", "component_id").alias("failed")) if not ready else found.limit(0).agg(F.count("*").alias("failed"))
+    found = found if ready else found.limit(0)
+    new = table.record(found).agg(F.count_if("created").alias("new_matches")) if ready else found.agg(F.count("*").alias("new_matches"))
+    out = correlation_outcome(components, assets, found).join(F.broadcast(failed)).join(F.broadcast(new))  # one row each
+    return out.withColumn("correlated", F.col("correlated") - F.col("failed"))

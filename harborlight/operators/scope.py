@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.net import address_key, masked, network
 
-#: Rules up to so many are broadcast; more are joined by prefix, an equi-join.
-MAX_BROADCAST_RULES = 2_000
-
 
 def _networks(rules: DataFrame) -> DataFrame:
     """Rules with bounds; those that are no network are left out (see :func:`invalid_rules`)."""
@@ -29,21 +26,15 @@ def invalid_rules(rules: DataFrame, max_label_chars: int = 100) -> DataFrame:
 def most_specific(targets: DataFrame, rules: DataFrame, address: str, keep: list[str], extra: Column | None = None) -> DataFrame:
     """``targets`` left-joined to the longest network of ``rules`` (same tenant) that holds ``address``.
 
-    ``targets`` needs a unique column ``target_id``. Adds ``cidr`` and the ``keep`` columns of the rule, null if none. Few rules
-    (their number is checked) are broadcast; otherwise targets and rules meet on (tenant, prefix length, prefix), a
-    row per prefix length in use, so that no pair is compared that does not match.
+    ``targets`` needs a unique column ``target_id``. Adds ``cidr`` and the ``keep`` columns of the rule, null if none. Targets
+    and rules meet on (tenant, prefix length, prefix), a row per prefix length in use (one row of 129 numbers at most tells
+    which), so no pair is compared that does not match, however many rules there are.
     """
-    nets = _networks(rules if extra is None else rules.filter(extra)).select("tenant_id", "cidr", "low", "high", "bits", *keep)
-    rows = targets.withColumn("__a", address_key(F.col(address)))
-    if nets.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES:
-        r = F.broadcast(nets)
-        hits = rows.join(r, (rows.tenant_id == r.tenant_id) & rows["__a"].between(r.low, r.high)).drop(r.tenant_id)
-    else:
-        used = [x["bits"] for x in nets.select("bits").distinct().collect()]  # 129 at most
-        sizes = F.array(*[F.lit(b) for b in sorted(used)])
-        spread = rows.withColumn("bits", F.explode(sizes)).withColumn("low", masked(F.col("__a"), F.col("bits")))
-        hits = spread.join(nets, ["tenant_id", "bits", "low"])
-    best = hits.groupBy("target_id").agg(F.max_by(F.struct("cidr", *keep), F.struct("bits", "cidr")).alias("r"))
+    nets = _networks(rules if extra is None else rules.filter(extra)).select("tenant_id", "cidr", "low", "bits", *keep)
+    used = F.broadcast(nets.agg(F.coalesce(F.collect_set("bits"), F.array().cast("array<int>")).alias("used")))  # one row
+    rows = targets.select("target_id", "tenant_id", address_key(F.col(address)).alias("__a")).join(used)
+    spread = rows.withColumn("bits", F.explode("used")).select("target_id", "tenant_id", "bits", masked(F.col("__a"), F.col("bits")).alias("low"))
+    best = spread.join(nets, ["tenant_id", "bits", "low"]).groupBy("target_id").agg(F.max_by(F.struct("cidr", *keep), F.struct("bits", "cidr")).alias("r"))
     return targets.join(best, "target_id", "left").select(*targets.columns, F.col("r.cidr").alias("cidr"), *[F.col(f"r.{k}").alias(k) for k in keep])
 
 

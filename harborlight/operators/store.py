@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,39 +42,63 @@ def stale_queries(queries: DataFrame, as_of: Column, ttl_hours: int) -> DataFram
 
 
 class VersionedTable:
-    """A table as numbered directories and a manifest that names the current one; the manifest is written last.
+    """A table as one directory per version and one small manifest file per version that names its directory.
 
-    Readers see the old or the new version, never a mixture, and a writer that dies leaves the old one.
+    The manifest is written aside and renamed into place after the data, and none is ever changed or removed before a later
+    one is there: readers take the greatest number and see the old or the new version, never a mixture or nothing, whenever a
+    writer dies. Of two writers of one version the second fails.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, partition_by: tuple[str, ...] = ()):
+        self.spark, self.path, self.partition_by = spark, path.rstrip("/"), partition_by
+        self._fs = self._p("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _p(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _versions(self) -> list[int]:
+        if not self._fs.exists(self._p("")):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._p(""))]
+        return sorted(int(n.rsplit(".", 1)[1]) for n in names if n.startswith("_manifest."))
+
+    def _directory(self, version: int) -> str:
+        stream = self._fs.open(self._p(f"_manifest.{version}"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def version(self) -> int:
         """The number of the current version, 0 if there is none."""
-        if not self._fs.exists(self._p("_manifest")):
-            return 0
-        return json.loads(self.spark.read.text(f"{self.path}/_manifest").first()[0])["version"]
+        return max(self._versions(), default=0)
 
     def read(self) -> DataFrame:
         if not (v := self.version()):
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/v{v}")
+        return self.spark.read.parquet(f"{self.path}/{self._directory(v)}")
 
     def replace(self, df: DataFrame) -> int:
         """Write the next version and make it current. ``df`` may read the current one."""
         v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        temporary = f"{self.path}/_manifest.{v}"
-        self.spark.createDataFrame([(json.dumps({"version": v}),)], "value string").coalesce(1).write.mode("overwrite").text(temporary)
-        self._fs.delete(self._p("_manifest"), True)
-        self._fs.rename(self._p(f"_manifest.{v}"), self._p("_manifest"))
+        directory = f"v{v}-{uuid.uuid4().hex}"
+        df.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{directory}")
+        aside, final = self._p(f"_new.{directory}"), self._p(f"_manifest.{v}")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(directory.encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(aside, final):
+            self._fs.delete(aside, False)
+            raise FileExistsError(f"version {v} of {self.path} was written by another writer")
         return v
 
+    def vacuum(self, keep: int = 1) -> None:
+        """Remove all versions but the last ``keep``; nothing may read them any more."""
+        for v in self._versions()[:-keep]:
+            data = self._p(self._directory(v))
+            self._fs.delete(self._p(f"_manifest.{v}"), False)
+            self._fs.delete(data, True)
+
 
 class AppendOnlyTable:
     """A log: rows can be added and read, nothing else."""

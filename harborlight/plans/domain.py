@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import secret_shapes
 from ..functions.version import compare_versions
 from ..operators import constraints, correlate, dossier, identity, readmodel, reconcile, redact, scan, scope, spine, store, triage
+from ..storage import shared_dir
 from .fixtures import AS_OF, oracle, spark_sql, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,9 +33,17 @@ def found_matches(spark: SparkSession, d: str) -> DataFrame:
     return correlate.correlate(v("v_component"), v("v_asset"), v("v_criteria"), v("v_cve"), v("v_kev"), v("v_epss"))
 
 
+_MATCH_TABLES: dict[tuple[str, str], correlate.MatchTable] = {}
+
+
 def matches(spark: SparkSession, d: str) -> DataFrame:
-    rows = correlate.current_matches(found_matches(spark, d))
-    return rows.withColumn("match_id", F.concat_ws("|", "asset_id", "cve_id", "matched_cpe"))
+    """The match table of a set of input tables: correlated by the first query of the application that reads it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MATCH_TABLES:
+        table_ = correlate.MatchTable(spark, shared_dir(spark))
+        table_.record(found_matches(spark, d))
+        _MATCH_TABLES[key] = table_
+    return _MATCH_TABLES[key].read()
 
 
 def _readers(spark: SparkSession, d: str):

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scan
+from ..operators.store import VersionedTable
 from ..storage import shared_dir
 from ..streaming import jobs
 from .fixtures import spark_sql, view
@@ -17,15 +16,15 @@ ORACLES: dict = {}
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """The result of a stream over all data there is, by way of the shared folder (append) or a memory table (complete)."""
+    """The result of a stream over all data there is, by way of the shared folder; in complete mode the last version of it."""
     spark, out = stream.sparkSession, shared_dir(stream.sparkSession)
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}-state")
     if mode == "append":
         writer.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
-    name = f"drained_{uuid.uuid4().hex}"
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+    table = VersionedTable(spark, out)
+    writer.foreachBatch(lambda rows, _: table.replace(rows)).start().awaitTermination()
+    return table.read()
 
 
 def source(spark: SparkSession, df: DataFrame) -> DataFrame:

@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where the session names none (tests, local mode) one is set here."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Only in local mode (tests) one is set here where the session names none: a folder of one machine would hide an executor's
+    files from all others, so a cluster without a shared one is an error.
+    """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir("/tmp/harborlight-checkpoints")
         base = sc._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/hl-{uuid.uuid4().hex}"
@@ -21,11 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors.
 
-    The files go when the driver ends, as results may read them until then.
+    The files go when the driver ends, as results may read them until then; :func:`discard` frees them before.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Free what :func:`stored` wrote, once nothing reads it any more."""
+    if path := df.__dict__.get("_stored_at"):
+        there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)

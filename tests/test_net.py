@@ -43,12 +43,13 @@ def test_networks(spark):
     assert {r.cidr for r in bad.collect()} == {"10.0.0.5/24", "10.0.0.0/24"}
 
 
-def test_scope_keeps_families_apart(spark, monkeypatch):
+def test_scope_keeps_families_apart(spark):
     rules = spark.createDataFrame([(1, "::/0"), (1, "2001:db8::/32"), (1, "10.0.0.0/8")], "tenant_id long, cidr string")
     targets = spark.createDataFrame([(1, 1, "2001:db8::5"), (2, 1, "10.1.1.1"), (3, 1, "11.1.1.1"), (4, 1, "fe80::1")], "target_id long, tenant_id long, address string")
-    for most in (2_000, 1):
-        monkeypatch.setattr(scope, "MAX_BROADCAST_RULES", most)
+    for most in ("10485760", "-1"):  # whether Spark broadcasts the rules or not
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
         assert [r.cidr for r in scope.most_specific(targets, rules, "address", []).orderBy("target_id").collect()] == ["2001:db8::/32", "10.0.0.0/8", None, "::/0"]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_settings():

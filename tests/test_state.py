@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from harborlight.functions.sanitize import sanitized
@@ -63,13 +64,62 @@ def test_tables(spark, tmp_path):
     assert log.read().count() == 6 and not [m for m in dir(log) if m in ("overwrite", "delete", "update", "replace")]
 
 
-def test_scope_by_prefix_equals_broadcast(spark, monkeypatch):
+def test_scope_by_prefix_with_and_without_broadcast(spark):
     rules = spark.createDataFrame([(1, "10.0.0.0/8"), (1, "10.1.0.0/16"), (1, "10.1.2.3/32"), (1, "10.1.0.1/16"), (2, "0.0.0.0/0")], "tenant_id long, cidr string")
     targets = spark.createDataFrame([(i, 1 + (a == "x"), a) for i, a in enumerate(["10.1.2.3", "10.1.9.9", "10.9.9.9", "11.0.0.1", "x"])], "target_id long, tenant_id long, address string")
     want = ["10.1.2.3/32", "10.1.0.0/16", "10.0.0.0/8", None, None]
-    for most in (2_000, 1):
-        monkeypatch.setattr(scope, "MAX_BROADCAST_RULES", most)
+    for most in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
         assert [r.cidr for r in scope.most_specific(targets, rules, "address", []).orderBy("target_id").collect()] == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_table_versions(spark, tmp_path):
+    one, two = (store.VersionedTable(spark, str(tmp_path / "t")) for _ in range(2))
+    one.replace(spark.range(1))
+    before = one.read()
+    two.version = lambda: 0  # a writer that has not seen the first version
+    with pytest.raises(FileExistsError):
+        two.replace(spark.range(5))
+    assert one.read().count() == 1 and one.version() == 1
+    one.replace(spark.range(7))
+    assert before.count() == 1 and one.read().count() == 7  # the old version stays until it is vacuumed
+    one.vacuum()
+    assert one.version() == 2 and one.read().count() == 7 and len(list((tmp_path / "t").glob("v*"))) == 2
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from harborlight.storage import shared_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True))))
+    with pytest.raises(RuntimeError, match="share"):
+        shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_match_table(spark, data, tmp_path):
+    from harborlight.operators import correlate
+    from harborlight.plans.fixtures import AS_OF, view
+
+    v = {n: view(spark, data, n) for n in ("v_component", "v_asset", "v_criteria", "v_cve", "v_kev", "v_epss")}
+    at = F.lit(AS_OF).cast("timestamp")
+    table = correlate.MatchTable(spark, str(tmp_path / "m"))
+    run = lambda manifest, some: correlate.correlation_run(table, v["v_component"].filter(some), *[v[n] for n in ("v_asset", "v_criteria", "v_cve", "v_kev", "v_epss")], spark.createDataFrame(manifest, "source string, record_count long, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp")), at).first()
+    fresh = [("kev", 5, "2024-05-31 23:00:00"), ("epss", 5, "2024-05-31 12:00:00")]
+    stale = [fresh[0], ("epss", 5, "2024-05-20 12:00:00")]
+    found = correlate.correlate(*v.values()).collect()
+    keys = {(r.tenant_id, r.asset_id, r.cve_id, r.matched_cpe) for r in found}
+    lost = run(stale, "true")
+    assert (lost.matches, lost.new_matches, lost.failed) == (0, 0, len({(r.tenant_id, r.component_id) for r in found})) and not table.version()
+    assert lost.components == lost.correlated + lost.failed + lost.skipped
+    half = [r for r in found if r.component_id % 2 == 0]
+    first = run(fresh, "component_id % 2 = 0")
+    assert first.new_matches == len({(r.tenant_id, r.asset_id, r.cve_id, r.matched_cpe) for r in half}) and first.matches == len(half) and first.failed == 0
+    second = run(fresh, "true")
+    assert first.new_matches + second.new_matches == len(keys) == table.read().count() and run(fresh, "true").new_matches == 0
+    plan = table.read().filter("tenant_id = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "tenant_id" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
 def test_redaction(spark):
