@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import domain, generic, readers, streams
+from .plans import domain, further, generic, readers, streams
 
 
 def queries():
-    return domain.QUERIES | generic.QUERIES | readers.QUERIES | streams.QUERIES
+    return domain.QUERIES | further.QUERIES | generic.QUERIES | readers.QUERIES | streams.QUERIES
 
 
 def oracle_sql():
-    return domain.ORACLES | generic.ORACLES | readers.ORACLES | streams.ORACLES
+    return domain.ORACLES | further.ORACLES | generic.ORACLES | readers.ORACLES | streams.ORACLES

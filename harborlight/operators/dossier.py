@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .redact import project, secret_paths
 from .scope import segment_labels
 
@@ -44,29 +45,32 @@ def known_to(managed: DataFrame) -> DataFrame:
     return managed.filter("asset_id is not null").groupBy("tenant_id", "asset_id").agg(F.array_sort(F.collect_set("source")).alias("known_to"))
 
 
-def assemble(assets: DataFrame, identifiers: DataFrame, software: DataFrame, observations: DataFrame, managed: DataFrame, subnets: DataFrame) -> DataFrame:
+def assemble(
+    assets: DataFrame, identifiers: DataFrame, software: DataFrame, observations: DataFrame, managed: DataFrame, subnets: DataFrame, *,
+    max_ports: int | None = MAX_PORTS, max_flags: int | None = MAX_FLAGS, max_services: int | None = MAX_SERVICES,
+) -> DataFrame:
     """One row per asset: identifiers, software, exposure, management, facts, flags, services and what was dropped.
 
-    Newest wins. Blocks are aggregated per asset first and joined on the asset key, so no join multiplies rows. Assets without
+    Newest wins. A block holds as many entries as its bound says (None: all); ``truncated`` names those that had more. Blocks are aggregated per asset first and joined on the asset key, so no join multiplies rows. Assets without
     observations have unknown reachability and empty blocks.
     """
     key = ["tenant_id", "asset_id"]
     seen = recent(observations)
-    kept = seen.select("observation_id", *key, "age").join(project(seen), "observation_id")
+    kept = stored(seen.select("observation_id", *key, "age").join(project(seen), "observation_id"))  # read by eight blocks
     fields = kept.select(*key, "age", F.explode("fields").alias("name", "value"))
     reach = F.lower(F.btrim("value"))
     reached = _newest(fields.filter((F.col("name") == "reachability") & reach.isin(REACHABILITY)).withColumn("reachability", reach), key, ["reachability"]).drop("age")
     observed = _newest(fields.filter("name = 'network_segment_label'").withColumn("observed_segment", F.col("value")), key, ["observed_segment"]).drop("age")
     at = lambda k: F.try_element_at("fields", F.lit(k))
     ports = kept.withColumn("p", open_port(at("port"), at("protocol"), at("service"))).filter("p is not null")
-    ports = ports.groupBy(*key).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("age", "p"))), lambda x: x["p"]), 1, MAX_PORTS).alias("open_ports"))
+    ports = ports.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("age", "p"))), lambda x: x["p"]).alias("open_ports"))
     facts = _newest(fields.filter(~F.col("name").isin(_NOT_FACTS)), [*key, "name"], ["value"])
     facts = facts.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("facts"))
     flags = _newest(kept.select(*key, "age", F.explode("flags").alias("name", "value")), [*key, "name"], ["value"])
-    flags = flags.groupBy(*key).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("age", "name", "value"))), lambda x: F.struct(x["name"].alias("key"), x["value"].alias("value"))), 1, MAX_FLAGS).alias("security_flags"))
+    flags = flags.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("age", "name", "value"))), lambda x: F.struct(x["name"].alias("key"), x["value"].alias("value"))).alias("security_flags"))
     service = F.coalesce(at("name"), at("service"))
     services = _newest(kept.withColumn("service", service).filter("service is not null"), [*key, "service"], [])
-    services = services.groupBy(*key).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("age", "service"))), lambda x: x["service"]), 1, MAX_SERVICES).alias("running_services"))
+    services = services.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("age", "service"))), lambda x: x["service"]).alias("running_services"))
     counts = kept.groupBy(*key).agg(F.count("*").alias("observations_read"), F.sum("dropped").alias("fields_dropped"))
     ids = identifiers.groupBy(*key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "kind", "value"))), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))).alias("identifiers")
@@ -76,6 +80,11 @@ def assemble(assets: DataFrame, identifiers: DataFrame, software: DataFrame, obs
     out = assets.select(*key, "asset_class", "management_state", "identification_confidence")
     for side in (ids, soft, reached, observed, inferred, ports, facts, flags, services, counts, known_to(managed)):
         out = out.join(side, key, "left")
+    cut = {c: most for c, most in (("open_ports", max_ports), ("security_flags", max_flags), ("running_services", max_services)) if most is not None}
+    truncated = F.filter(F.array(*[F.when(F.size(c) > most, c) for c, most in cut.items()]), lambda c: c.isNotNull()).cast("array<string>")
+    out = out.withColumn("truncated", truncated)
+    for c, most in cut.items():
+        out = out.withColumn(c, F.slice(c, 1, most))
     fact = lambda k: F.try_element_at("facts", F.lit(k))
     context = None
     for cls, names in FACTS.items():
@@ -101,6 +110,7 @@ def assemble(assets: DataFrame, identifiers: DataFrame, software: DataFrame, obs
         F.coalesce("running_services", F.array().cast("array<string>")).alias("running_services"),
         F.coalesce("observations_read", F.lit(0)).alias("observations_read"),
         F.coalesce("fields_dropped", F.lit(0)).alias("fields_dropped"),
+        "truncated",
     )
 
 
@@ -129,3 +139,18 @@ def detail(dossiers: DataFrame, findings: DataFrame, timeline: DataFrame, tenant
     first = F.try_element_at("identifiers", F.lit(1))["value"]
     named = one.join(F.broadcast(label)).withColumn("label", F.coalesce("found_label", host, first)).drop("found_label")  # one row each
     return {"dossier": named, "findings": findings, "timeline": timeline}
+
+
+def derived_provenance(at: Column) -> Column:
+    """Where a value comes from that was worked out, not observed."""
+    # Names of the derivation.
+    return F.struct(
+        F.lit("reconciliation").alias("source"),
+        F.lit("derived").alias("source_type"),
+        F.lit("dossier-assembler").alias("collector"),
+        F.lit("projection").alias("collection_method"),
+        at.alias("observed_at"),
+        at.alias("collected_at"),
+        F.lit(1.0).alias("confidence"),
+        F.lit("deterministic").alias("derivation"),
+    )

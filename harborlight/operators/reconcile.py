@@ -144,3 +144,20 @@ def diff_counts(outcomes: DataFrame, per_asset: DataFrame) -> DataFrame:
     )
     rate = F.coalesce(F.try_divide("ambiguous_assets", "assets_considered"), F.lit(0.0))
     return by_kind.join(by_asset, "tenant_id").withColumn("ambiguous_rate", rate)
+
+
+def record_fields(records: DataFrame, fields: tuple[str, ...] = ("serial", "mac", "hostname")) -> DataFrame:
+    """Records (tenant_id, record_id, source, external_id, payload) with the text fields of their JSON payload; blank ones are null."""
+    parsed = F.try_parse_json("payload")
+    value = lambda k: F.nullif(F.btrim(F.try_variant_get(parsed, f"$.{k}", "string")), F.lit(""))
+    return records.select("tenant_id", "record_id", "source", "external_id", *[value(k).alias(k) for k in fields])
+
+
+def write_back(records: DataFrame, assets: DataFrame, outcomes: DataFrame, per_asset: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The new states of both tables: every record with the asset it is linked to now (or none: old links are cleared), every
+    asset with its management state (those that were not considered keep theirs). Running it again changes nothing."""
+    links = outcomes.select("tenant_id", "record_id", F.col("asset_id").alias("linked_asset_id"))
+    states = per_asset.select("tenant_id", "asset_id", F.col("management_state").alias("__state"))
+    linked = records.drop("linked_asset_id").join(links, ["tenant_id", "record_id"], "left")
+    stated = assets.join(states, ["tenant_id", "asset_id"], "left").withColumn("management_state", F.coalesce("__state", "management_state")).select(*assets.columns)
+    return linked, stated

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..data import table
+from ..functions.text import ipv4
 
 FAILURES = ("tripped", "errored", "unreachable")
 #: (signal, value, profile): what marks a device as fragile or robust. A site passes its own rows.
@@ -84,3 +85,62 @@ def probe_verdict(errno: Column, known_port: Column) -> Column:
         .when(errno.isin("ETIMEDOUT", "EHOSTUNREACH", "EHOSTDOWN", "ENETUNREACH", "ENETDOWN", "ECONNABORTED"), "down")
         .otherwise("unknown")
     )
+
+
+# Arguments that no scan may carry, and characters that could chain, redirect, substitute or glob a command.
+FORBIDDEN = ("-A", "--version-all", "--script", "-O")
+SHELL_CHARACTERS = ";&|><`$(){}[]!*?~\n\r\t\\'\""
+#: (profile, position, argument) of a scan, and (kind, command) of the reads an inspection may send.
+ARGUMENTS = table("scan_arguments")
+READS = table("read_commands")
+DISTRESS_CONFIDENCE = 0.9
+
+
+def scan_command(address: Column, profile: Column, arguments: list[dict[str, str]] | None = None, program: str = "nmap") -> Column:
+    """The arguments a profile means for an IPv4 address, as an array; null for a profile or an address that is none."""
+    rows = ARGUMENTS if arguments is None else arguments
+    if bad := [r["argument"] for r in rows if r["argument"] in FORBIDDEN]:
+        raise ValueError(f"forbidden arguments: {bad}")
+    out = F.lit(None).cast("array<string>")
+    for name in sorted({r["profile"] for r in rows}):
+        mine = [r["argument"] for r in sorted(rows, key=lambda r: int(r["position"])) if r["profile"] == name]
+        out = F.when(profile == name, F.array(*map(F.lit, [program, *mine, "-oX", "-"]))).otherwise(out)
+    target = ipv4(address)
+    return F.when(target.isNotNull() & out.isNotNull(), F.array_append(out, target))
+
+
+def command_fault(command: Column, reads: list[dict[str, str]] | None = None) -> Column:
+    """Why a command may not be sent to a device, null if it is one of the reads: nothing else is ever sent."""
+    known = [r["command"] for r in (READS if reads is None else reads)]
+    verbs = sorted({c.split(" ")[0] for c in known})
+    return (
+        F.when(command.isNull() | (command == "") | (command != F.btrim(command)), "malformed command")
+        .when(F.translate(command, SHELL_CHARACTERS, "") != command, "shell metacharacters")
+        .when(~F.split_part(command, F.lit(" "), F.lit(1)).isin(verbs), "verb is not allowed")
+        .when(~command.isin(known), "arguments are not allowed")
+    )
+
+
+def distress_observations(outcomes: DataFrame) -> DataFrame:
+    """An observation for every device that did not stand its scan: rows (run_id, pos, target, mac, profile, outcome) that tripped."""
+    health = F.struct(F.col("target").alias("ip"), F.col("outcome").alias("state"), "profile", "mac")
+    return outcomes.filter("outcome = 'tripped'").select(
+        "run_id",
+        "pos",
+        F.lit("device_health").alias("observation_type"),
+        F.to_json(health, {"ignoreNullFields": "false"}).alias("payload"),
+        F.lit("health_probe").alias("source"),
+        F.lit("active_scan").alias("source_type"),
+        F.col("target").alias("source_identifier"),
+        F.lit("circuit_breaker").alias("collection_method"),
+        F.lit(DISTRESS_CONFIDENCE).alias("confidence"),
+    )
+
+
+def inspector_for(has_credential: Column, open_ports: Column, banners: Column, registry: list[tuple[str, list[int], str]] | None = None) -> Column:
+    """The first inspector of the registry (name, ports, start of a banner) that a device speaks to; none without a credential."""
+    # What marks the one built-in inspector's protocol.
+    rows = [("ssh", [22, 2222], "SSH-")] if registry is None else registry
+    no = F.lit(False)
+    speaks = lambda ports, start: F.coalesce(F.arrays_overlap(open_ports, F.array(*map(F.lit, ports))), no) | F.coalesce(F.exists(banners, lambda b: F.upper(F.btrim(b)).startswith(start)), no)
+    return F.when(F.coalesce(has_credential, no), F.coalesce(*[F.when(speaks(ports, start), name) for name, ports, start in rows], F.lit(None).cast("string")))

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import CVE_PATTERN
+
 
 def upsert(store: DataFrame, batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The new state of a table, with ``created``: rows of the batch replace rows of the same key, the last by ``order`` wins.
@@ -111,3 +113,19 @@ class AppendOnlyTable:
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
+
+
+def cached_records(queries: DataFrame, records: DataFrame, as_of: Column, ttl_hours: int) -> DataFrame:
+    """What the cache answers to its fresh queries (cpe, cve_ids, fetched_at): (cpe, cve_id and the record's columns)."""
+    fresh = stale_queries(queries, as_of, ttl_hours).filter("fresh").select("cpe", F.explode(F.array_distinct("cve_ids")).alias("cve_id"))
+    return fresh.join(records, "cve_id").select("cpe", *records.columns)
+
+
+def lookup(wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """One row per wanted id (asked): ``cve_id`` in its standard form (null if it is no id), whether it is ``cached``, and the
+    record's other columns. An id does not go stale: it has no time to live."""
+    standard = F.upper(F.btrim("asked"))
+    rows = wanted.select("asked", F.when(standard.rlike(CVE_PATTERN), standard).alias("cve_id"))
+    held = records.withColumn("cached", F.lit(True))
+    rest = [c for c in records.columns if c != "cve_id"]
+    return rows.join(held, "cve_id", "left").select("asked", "cve_id", F.coalesce("cached", F.lit(False)).alias("cached"), *rest)

@@ -59,3 +59,15 @@ def windowed_counts(events: DataFrame, at: str, size: str, slide: str | None, ke
     """Counts and sums per tumbling (no slide) or sliding window."""
     w = F.window(at, size, slide) if slide else F.window(at, size)
     return events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), *keys, "n", "total")
+
+
+def spaced(requests: DataFrame, by: list[str], at: str, order: list[str], seconds: float) -> DataFrame:
+    """Adds ``starts`` to requests: when each may go out if two of one ``by`` are at least ``seconds`` apart.
+
+    A request waits for those before it, so the start of request i is the latest of ``at`` of j plus (i - j) spacings over all
+    j up to i: one running maximum.
+    """
+    line = Window.partitionBy(*by).orderBy(at, *order)
+    rows = requests.withColumn("__i", F.row_number().over(line)).withColumn("__s", F.unix_micros(at) - F.col("__i") * int(seconds * 1e6))
+    ahead = F.max("__s").over(line.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__i") * int(seconds * 1e6)
+    return rows.withColumn("starts", F.timestamp_micros(ahead)).drop("__i", "__s")

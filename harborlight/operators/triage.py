@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from ..functions.sanitize import one_line, sanitized
 from ..functions.text import cve_ids_in, quotes
+from .spine import canonical_payload
 
-MAX_EVIDENCE_CHARS, MAX_REFERENCES, MAX_FILES, MAX_CITATIONS = 16_000, 10, 12, 12
+MAX_EVIDENCE_CHARS, MAX_REFERENCES, MAX_FILES, MAX_CITATIONS, MAX_CHANGED = 16_000, 10, 12, 12, 200
 # Hosts patches may be read from, and path shapes of commits and diffs.
 PATCH_HOSTS = "github.com gitlab.com bitbucket.org codeberg.org gitea.com git.kernel.org sourceware.org git.savannah.gnu.org gitbox.apache.org".split()
 PATCH_HOST_SUFFIX = ".googlesource.com"
@@ -45,12 +46,13 @@ def first_patch(references: Column) -> Column:
     return F.try_element_at(F.filter(references, is_patch_url), F.lit(1))
 
 
-def changed_files(diff: Column) -> Column:
-    """Paths a diff touches, each once, in order; from ``diff --git`` headers, else from ``+++`` lines."""
+def changed_files(diff: Column, most: int | None = MAX_CHANGED) -> Column:
+    """Paths a diff touches, each once, in order (``most`` of them; None: all); from ``diff --git`` headers, else from ``+++`` lines."""
     both = F.flatten(F.transform(F.regexp_extract_all(diff, F.lit(r"(?m)^diff --git a/\S+ b/\S+"), F.lit(0)), lambda h: F.array(F.regexp_extract(h, r"a/(\S+) b/", 1), F.regexp_extract(h, r" b/(\S+)$", 1))))
     plus = F.regexp_extract_all(diff, F.lit(r"(?m)^\+\+\+ (?:b/)?(\S+)"), F.lit(1))
     found = F.when(F.size(both) > 0, both).otherwise(plus)
-    return F.slice(F.array_distinct(F.filter(found, lambda p: (p != "") & (p != "/dev/null"))), 1, 200)
+    paths = F.array_distinct(F.filter(found, lambda p: (p != "") & (p != "/dev/null")))
+    return paths if most is None else F.slice(paths, 1, most)
 
 
 def commit_subject(diff: Column) -> Column:
@@ -144,13 +146,13 @@ def resolve_path(document: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([one(d, r) for d, r in zip(document, ref, strict=True)], dtype=object)
 
 
-def resolved_citations(replies: DataFrame) -> DataFrame:
+def resolved_citations(replies: DataFrame, max_citations: int | None = MAX_CITATIONS) -> DataFrame:
     """(reply_id, kind, ref, quote) of the citations that point at something real.
 
     ``replies``: reply_id, cve_id, advisory_id, advisory_source, advisory_text, dossier (JSON), citations. An advisory citation
     names the advisory, its source or the CVE; a dossier citation names a path that exists; a quote must occur there.
     """
-    c = replies.select("reply_id", "cve_id", "advisory_id", "advisory_source", "advisory_text", "dossier", F.explode(F.slice("citations", 1, MAX_CITATIONS)).alias("c"))
+    c = replies.select("reply_id", "cve_id", "advisory_id", "advisory_source", "advisory_text", "dossier", F.explode("citations" if max_citations is None else F.slice("citations", 1, max_citations)).alias("c"))
     ref, quote = F.col("c.ref"), F.col("c.quote")
     said = lambda where: F.coalesce(quote, F.lit("")).isin("") | quotes(where, quote)
     advisory = c.filter((F.col("c.kind") == "advisory") & F.upper(ref).isin(F.upper("advisory_id"), F.upper("advisory_source"), F.upper("cve_id")) & said(F.col("advisory_text")))
@@ -222,3 +224,24 @@ def fold_reviews(insights: DataFrame, events: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=[c.split()[0] for c in REVIEW_RESULT.split(", ")])
 
     return rows.groupBy("insight_id").applyInPandas(fold, REVIEW_RESULT)
+
+
+def snapshots(dossiers: DataFrame) -> DataFrame:
+    """(triage_id, tenant_id, asset_id, cve_id, snapshot, content_hash): what a model is given, in canonical form with its hash.
+
+    Written before the model is asked and never changed; there is no match id in it.
+    """
+    rows = dossiers.withColumn("snapshot", canonical_payload(F.col("document"))).filter("snapshot is not null")
+    return rows.select("triage_id", "tenant_id", "asset_id", "cve_id", F.lit(None).cast("string").alias("match_id"), "snapshot", F.sha2(F.col("snapshot").cast("binary"), 256).alias("content_hash"))
+
+
+def recorded_insights(proposals: DataFrame, kept: DataFrame) -> DataFrame:
+    """Proposals (insight_id, triage_id, recommendation, n_cited, kev_locked_visible) with ``tenant_id`` of their snapshot and the
+    ``problem`` that keeps one from being written, null if it is fine."""
+    rows = proposals.join(kept.select("triage_id", "tenant_id").distinct(), "triage_id", "left")
+    problem = (
+        F.when(F.coalesce("n_cited", F.lit(0)) == 0, "no cited source")
+        .when(F.col("kev_locked_visible") & (F.col("recommendation") == "lower_priority"), "hides a known-exploited finding")
+        .when(F.col("tenant_id").isNull(), "no retained snapshot")
+    )
+    return rows.select(*proposals.columns, "tenant_id", problem.alias("problem"))

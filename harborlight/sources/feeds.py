@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CVE_PATTERN, printable
@@ -23,12 +23,14 @@ def _string(v: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(part) == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def read_cves(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_cves(documents: DataFrame, max_criteria: int | None = MAX_CRITERIA, max_references: int | None = MAX_REFERENCES) -> tuple[DataFrame, DataFrame]:
     """CVE records and refusals of feed pages (document_id, json).
 
     A page must be an object with a list ``vulnerabilities`` (or say by ``totalResults`` that it has none); else the whole page is
-    refused. An entry without a usable id is refused alone.
+    refused. An entry without a usable id is refused alone. Of one record ``max_criteria`` and ``max_references`` are read (None:
+    all); a record that has more is named among the refusals too, as a criterion not read may be a vulnerability not seen.
     """
+    bounds = {"cpe_matches": (max_criteria, "criteria"), "references": (max_references, "references")}
     doc = documents.select("document_id", F.try_parse_json("json").alias("v"))
     shape = F.schema_of_variant(F.try_variant_get("v", "$.vulnerabilities", "variant"))
     empty = F.try_variant_get("v", "$.vulnerabilities", "variant").isNull() & F.try_variant_get("v", "$.totalResults", "variant").isNotNull()
@@ -89,11 +91,17 @@ def read_cves(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("s.vector").alias("cvss_vector"),
         F.col("s.version").alias("cvss_version"),
         F.col("s.severity").alias("severity"),
-        F.slice(F.transform(first, lambda x: x["c"]), 1, MAX_CRITERIA).alias("cpe_matches"),
-        F.slice(refs, 1, MAX_REFERENCES).alias("references"),
+        F.transform(first, lambda x: x["c"]).alias("cpe_matches"),
+        refs.alias("references"),
     )
+    # what the bounds cut is named among the refusals
+    cut = out.select("document_id", "pos", F.col("cve_id").alias("identifier"), *[F.size(c).alias(c) for c in bounds])
+    reasons = F.filter(F.array(*[F.when(F.col(c) > most, F.concat(F.lit(f"{most} of "), F.col(c).cast("string"), F.lit(f" {what} read"))) for c, (most, what) in bounds.items() if most is not None]), lambda r: r.isNotNull())
+    cut = cut.select("document_id", "pos", "identifier", F.explode(reasons.cast("array<string>")).alias("reason"))
+    for c, (most, _) in bounds.items():
+        out = out if most is None else out.withColumn(c, F.slice(c, 1, most))
     pages = doc.filter("reason is not null").select("document_id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("identifier"), "reason")
-    return out, pages.unionByName(cve.filter("reason is not null").select("document_id", "pos", F.col("id").alias("identifier"), "reason"))
+    return out, pages.unionByName(cve.filter("reason is not null").select("document_id", "pos", F.col("id").alias("identifier"), "reason")).unionByName(cut)
 
 
 def criteria_of(cves: DataFrame) -> DataFrame:
@@ -163,3 +171,8 @@ def retry_decision(status: Column, attempt: Column, max_retries: int = 3) -> Col
     # Statuses that mean "ask again later".
     later = status.isin(429, 500, 502, 503, 504)
     return F.when(status.between(200, 299), "ok").when(later & (attempt <= max_retries), "retry").otherwise("fail")
+
+
+def epss_files(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots (document_id, text) for :func:`read_epss` from files, gzipped (by their names) or not."""
+    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("document_id"), F.col("value").alias("text"))

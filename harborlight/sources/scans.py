@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import printable
 
 # Confidences and caps.
-PORT_CONFIDENCE, DEFAULT_SERVICE_CONFIDENCE, PACKAGE_CONFIDENCE = 1.0, 0.3, 0.95
+PORT_CONFIDENCE, DEFAULT_SERVICE_CONFIDENCE, PACKAGE_CONFIDENCE = 0.9, 0.3, 0.95
 MAX_FIELD, MAX_LINES, MAX_COMPONENTS = 200, 20_000, 5_000
 _SCHEMA = """
 host array<struct<_starttime:string,_endtime:string,
@@ -99,28 +99,32 @@ def scan_observations(hosts: DataFrame, address: str = "address") -> DataFrame:
     return hosts.select("scan_id", address, "observed_at", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("o")).select("scan_id", F.col(address).alias("source_identifier"), "observed_at", "o.*")
 
 
-def _lines(text: Column) -> Column:
-    every = F.slice(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), 1, MAX_LINES)
+def _upto(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
+def _lines(text: Column, most: int | None = MAX_LINES) -> Column:
+    every = _upto(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), most)
     return F.filter(F.transform(every, lambda x: F.btrim(x, F.lit(" \t"))), lambda x: x != "")
 
 
-def _components(pairs: Column) -> Column:
+def _components(pairs: Column, most: int | None = MAX_COMPONENTS) -> Column:
     named = F.transform(pairs, lambda c: F.struct(clean(c["name"]).alias("name"), clean(c["version"]).alias("version")))
-    return F.slice(F.filter(named, lambda c: c["name"].isNotNull()), 1, MAX_COMPONENTS)
+    return _upto(F.filter(named, lambda c: c["name"].isNotNull()), most)
 
 
-def dpkg_components(text: Column) -> Column:
-    """Installed packages of ``dpkg -l``: states ii and hi, without architecture."""
+def dpkg_components(text: Column, max_lines: int | None = MAX_LINES, max_components: int | None = MAX_COMPONENTS) -> Column:
+    """Installed packages of ``dpkg -l``: states ii and hi, without architecture. The bounds may be None: no bound."""
     pattern = r"^([a-zA-Z]{2,3})\s+(\S+)\s+(\S+)"
-    rows = F.filter(_lines(text), lambda x: F.regexp_extract(x, pattern, 1).isin("ii", "hi"))
-    return _components(F.transform(rows, lambda x: F.struct(F.split_part(F.regexp_extract(x, pattern, 2), F.lit(":"), F.lit(1)).alias("name"), F.regexp_extract(x, pattern, 3).alias("version"))))
+    rows = F.filter(_lines(text, max_lines), lambda x: F.regexp_extract(x, pattern, 1).isin("ii", "hi"))
+    return _components(F.transform(rows, lambda x: F.struct(F.split_part(F.regexp_extract(x, pattern, 2), F.lit(":"), F.lit(1)).alias("name"), F.regexp_extract(x, pattern, 3).alias("version"))), max_components)
 
 
-def rpm_components(text: Column) -> Column:
+def rpm_components(text: Column, max_lines: int | None = MAX_LINES, max_components: int | None = MAX_COMPONENTS) -> Column:
     """Packages of ``rpm -qa``, read from the right: name-version-release.arch."""
     pattern = r"^(.+)-([^-\s]+)-([^-\s]+)\.([A-Za-z0-9_]+)$"
-    rows = F.filter(_lines(text), lambda x: x.rlike(pattern))
-    return _components(F.transform(rows, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("name"), F.concat_ws("-", F.regexp_extract(x, pattern, 2), F.regexp_extract(x, pattern, 3)).alias("version"))))
+    rows = F.filter(_lines(text, max_lines), lambda x: x.rlike(pattern))
+    return _components(F.transform(rows, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("name"), F.concat_ws("-", F.regexp_extract(x, pattern, 2), F.regexp_extract(x, pattern, 3)).alias("version"))), max_components)
 
 
 def os_release(text: Column) -> Column:
@@ -142,12 +146,42 @@ def os_component(release: Column, kernel: Column) -> Column:
     return F.when(name.isNotNull(), stated).when(k.isNotNull(), F.struct(F.split_part(k, F.lit(" "), F.lit(1)).alias("name"), rest.alias("version")))
 
 
-def inspect(devices: DataFrame) -> tuple[DataFrame, DataFrame]:
+def inspect(devices: DataFrame, max_lines: int | None = MAX_LINES, max_components: int | None = MAX_COMPONENTS) -> tuple[DataFrame, DataFrame]:
     """Components (device_id, seq, name, version, version_source, confidence) of devices (device_id, os_release, kernel, dpkg, rpm): the
-    system first, then packages. Devices without any component are refused."""
+    system first, then packages. Devices without any component are refused, and those whose lists are longer than the bounds
+    (None: no bound) are named among the refusals besides: what was read of them is not all there is."""
     none = F.array().cast("array<struct<name:string,version:string>>")
     os = os_component(F.coalesce(os_release(F.col("os_release")), F.create_map().cast("map<string,string>")), F.col("kernel"))
-    all_ = F.concat(F.when(os.isNotNull(), F.array(os)).otherwise(none), F.coalesce(dpkg_components(F.col("dpkg")), none), F.coalesce(rpm_components(F.col("rpm")), none))
-    rows = devices.select("device_id", all_.alias("cs"))
+    all_ = F.concat(F.when(os.isNotNull(), F.array(os)).otherwise(none), F.coalesce(dpkg_components(F.col("dpkg"), max_lines, max_components), none), F.coalesce(rpm_components(F.col("rpm"), max_lines, max_components), none))
+    longer = F.lit(False)
+    for c, read in (("dpkg", dpkg_components), ("rpm", rpm_components)):
+        longer = longer | F.coalesce(F.size(read(F.col(c), max_lines, max_components)) < F.size(read(F.col(c), None, None)), F.lit(False))
+    rows = devices.select("device_id", all_.alias("cs"), longer.alias("longer"))
     good = rows.select("device_id", F.posexplode("cs").alias("seq", "c")).select("device_id", "seq", "c.name", "c.version", F.lit("package_manager").alias("version_source"), F.lit(PACKAGE_CONFIDENCE).alias("confidence"))
-    return good, rows.filter(F.size("cs") == 0).select("device_id", F.lit("no software could be read").alias("reason"))
+    reason = F.when(F.size("cs") == 0, "no software could be read").when(F.col("longer"), "a package list is longer than what is read of it")
+    return good, rows.select("device_id", reason.alias("reason")).filter("reason is not null")
+
+
+def scan_anchors(hosts: DataFrame, address: str = "address") -> DataFrame:
+    """(scan_id, seq, kind, value, confidence) of scanned hosts: MAC and name where seen, and always the address scanned.
+
+    A name is a locator; the address is what the scan aimed at, so there is something to know the host by.
+    """
+    # Confidences of the three.
+    three = [("mac", "mac", PORT_CONFIDENCE), ("hostname", "hostname", 0.5), ("ip", address, PORT_CONFIDENCE)]
+    found = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(kind).alias("kind"), F.col(c).alias("value"), F.lit(sure).alias("confidence")) for i, (kind, c, sure) in enumerate(three)])
+    return hosts.select("scan_id", F.explode(F.filter(found, lambda a: a["value"].isNotNull())).alias("a")).select("scan_id", "a.*")
+
+
+def inspection_observations(devices: DataFrame) -> DataFrame:
+    """Software and identity observations of inspected devices (also with ``address`` and ``hostname``, the device's own answer).
+
+    Devices without any component give none; an identity only where the device told a name.
+    """
+    good, _ = inspect(devices)
+    parts = good.groupBy("device_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "name", "version"))), lambda c: F.struct(c["name"].alias("name"), c["version"].alias("version"))).alias("components"))
+    rows = devices.select("device_id", "address", clean(F.split_part(F.replace("hostname", F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(1))).alias("name")).join(parts, "device_id")
+    software = F.struct(F.lit("software").alias("observation_type"), F.to_json(F.struct(F.col("address").alias("ip"), "components")).alias("payload"), F.lit("package_manager").alias("version_source"))
+    identity = F.struct(F.lit("identity").alias("observation_type"), F.to_json(F.struct(F.col("address").alias("ip"), F.col("name").alias("hostname"))).alias("payload"), F.lit(None).cast("string").alias("version_source"))
+    both = F.filter(F.array(software, F.when(F.col("name").isNotNull(), identity)), lambda o: o.isNotNull())
+    return rows.select("device_id", F.explode(both).alias("o")).select("device_id", "o.*", F.lit(PACKAGE_CONFIDENCE).alias("confidence"))

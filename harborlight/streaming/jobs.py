@@ -74,3 +74,13 @@ def breaker_stream(outcomes: DataFrame, halt_after: int = 3) -> DataFrame:
 
     schema = "run_id string, pos long, outcome string, streak long, reached boolean"
     return outcomes.groupBy("run_id").applyInPandasWithState(step, schema, "streak long, halted boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def against_snapshot(stream: DataFrame, snapshot: DataFrame, key: str, at: str, ttl_hours: int, late: str = "1 day") -> DataFrame:
+    """Stream rows with the snapshot's columns where it was fresh at the row's time (fetched_at within ``ttl_hours``), else ``fresh`` is
+    false and they are null: a stale or missing signal is told from "not listed". The stream's state holds nothing; the snapshot
+    is read anew for every batch if its table is."""
+    rows = stream.withWatermark(at, late).join(snapshot, key, "left")
+    fresh = F.coalesce((F.col("fetched_at") <= F.col(at)) & (F.col(at) - F.col("fetched_at") < F.make_dt_interval(hours=F.lit(ttl_hours))), F.lit(False))
+    signals = [c for c in snapshot.columns if c not in (key, "fetched_at")]
+    return rows.select(*stream.columns, fresh.alias("fresh"), *[F.when(fresh, F.col(c)).alias(c) for c in signals])

@@ -1,5 +1,7 @@
 """Readers: golden and hostile inputs; every line or row is either read or refused with a reason."""
 
+import gzip
+import json
 from datetime import datetime
 
 import pytest
@@ -145,3 +147,26 @@ def test_workbook(spark, tmp_path):
     assert [(r.external_id, r.hostname) for r in good.collect()] == [("7", "host-1")] and [(r.row_number, r.reason) for r in bad.collect()] == [(3, "no_identity")]
     with pytest.raises(ValueError, match="refused"):
         inventory.read_xlsx(spark, str(tmp_path / "bad.xlsx"), m)
+
+
+def test_bounds_are_parameters_and_cuts_are_named(spark):
+    cve = {"cve": {"id": "CVE-2024-1", "references": [{"url": f"https://x.example/{i}"} for i in range(60)], "configurations": [{"nodes": [{"cpeMatch": [{"criteria": f"cpe:2.3:a:v:p{i}:*", "vulnerable": True} for i in range(520)]}]}]}}
+    docs = spark.createDataFrame([("d", json.dumps({"vulnerabilities": [cve]}))], "document_id string, json string")
+    good, refused = feeds.read_cves(docs)
+    row = good.first()
+    assert (len(row.cpe_matches), len(row.references)) == (500, 50) and sorted(r.reason for r in refused.collect()) == ["50 of 60 references read", "500 of 520 criteria read"]
+    good, refused = feeds.read_cves(docs, max_criteria=None, max_references=None)
+    assert (len(good.first().cpe_matches), len(good.first().references)) == (520, 60) and not refused.count()
+    device = spark.createDataFrame([(1, None, None, "\n".join(f"ii  p{i}  1.{i}  amd64" for i in range(9)), None)], "device_id long, os_release string, kernel string, dpkg string, rpm string")
+    good, refused = scans.inspect(device, max_components=4)
+    assert good.count() == 4 and [r.reason for r in refused.collect()] == ["a package list is longer than what is read of it"]
+    good, refused = scans.inspect(device, max_lines=None, max_components=None)
+    assert good.count() == 9 and not refused.count()
+
+
+def test_gzipped_scores(spark, tmp_path):
+    text = "#model_version:v2025.03.14,score_date:2025-06-01T00:00:00+0000\ncve,epss,percentile\nCVE-2024-1,0.5,0.9\nCVE-2024-2,1.5,0.9\n"
+    with gzip.open(tmp_path / "scores.csv.gz", "wt") as f:
+        f.write(text)
+    good, refused = feeds.read_epss(feeds.epss_files(spark, str(tmp_path)))
+    assert [(r.cve_id, r.score, r.model_version) for r in good.collect()] == [("CVE-2024-1", 0.5, "v2025.03.14")] and refused.count() == 1
