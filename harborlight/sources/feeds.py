@@ -175,4 +175,4 @@ def retry_decision(status: Column, attempt: Column, max_retries: int = 3) -> Col
 
 def epss_files(spark: SparkSession, path: str) -> DataFrame:
     """Snapshots (document_id, text) for :func:`read_epss` from files, gzipped (by their names) or not."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("document_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("document_id"), F.col("value").alias("text"))
