@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, stored  # noqa: F401 - used by the operators through this module
+from ..storage import discard, shared_dir, stored  # noqa: F401 - used by the operators through this module
 
 # The six ASCII white-space characters of the text contracts.
 WS_CHARS = " \t\n\x0b\x0c\r"

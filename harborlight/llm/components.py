@@ -1,28 +1,3 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping."""
+"""Connected components, for the operators of this subpackage."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import stored
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label) for every id in ``edges`` (a, b: long): ``label`` is the smallest id reachable.
-
-    Each round takes the smallest label among a node's neighbours, then the label of that label, and writes the labels to
-    the shared folder; the rounds grow with the logarithm of a component's diameter. Messages are map-side combined, so a
-    hub with very many links sends one row per task.
-    """
-    links = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct())
-    labels = stored(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")))
-    while True:
-        heard = links.join(labels, links.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "id", "left").select("id", F.least("label", "heard").alias("label"), F.col("label").alias("before"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("above"))
-        following = stored(lower.join(up, "label", "left").select("id", F.least("label", "above").alias("label"), "before"))
-        moved = following.filter("label <> before").limit(1).count()
-        labels = following.select("id", "label")
-        if not moved:
-            return labels
+from ..operators.components import components  # noqa: F401

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, in_row, maybe_in, pack_row, stored, unpack_row
+from .common import discard, doc_key, in_row, maybe_in, pack_row, stored, unpack_row
 
 KEY = "surrogate-key-1"
 #: A layout has room if it has so many values for each of its entities.
@@ -439,7 +439,10 @@ def further_attempts(units: DataFrame, key: str) -> DataFrame | None:
             break
         again = current.join(losers.withColumn("lost", F.lit(True)), ["kind", "canonical"], "left")
         again = again.withColumn("attempt", F.col("attempt") + F.when(F.col("lost"), 1).otherwise(0))
+        before = current
         current = stored(again.select("kind", "canonical", "attempt", F.when(F.col("lost"), _surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key)).otherwise(F.col("made")).alias("made")))
+        discard(before)
+        discard(losers)
     same = learnt.join(current.select(F.col("kind").alias("told"), "canonical", "attempt", "made"), ["told", "canonical"])
     changed = stored(current.filter("attempt <> 0").unionByName(same.select(F.lit(_OPEN_GIVEN).alias("kind"), "canonical", "attempt", "made")))
     return changed if changed.limit(1).count() else None
