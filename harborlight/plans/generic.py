@@ -93,16 +93,8 @@ def asof_order(spark, d):
     return temporal.asof_join(e, o, "k", "at", ["last_order", "last_price"], segment="date_trunc('YEAR', at)").select("event_id", "last_order", "last_price")
 
 
-@register("interval_join", "SELECT a.event_id, b.event_id AS opener FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id % 20 = 0 AND a.ts >= b.ts AND a.ts < b.ts + INTERVAL 6 HOUR")
+@register("interval_join", "SELECT a.event_id, b.event_id AS opener FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts >= b.ts AND a.ts < b.ts + INTERVAL 6 HOUR")
 def interval_join(spark, d):
-    e = table(spark, d, "events")
-    openers = e.filter("event_id % 20 = 0").select("user_id", F.col("event_id").alias("opener"), F.col("ts").alias("begins"), (F.col("ts") + F.expr("interval 6 hours")).alias("ends"))
-    return temporal.interval_join(e.select("event_id", "user_id", "ts"), openers, "user_id", "ts", "begins", "ends", 6 * 3600).select("event_id", "opener")
-
-
-@register("interval_join_all")
-def interval_join_all(spark, d):
-    """Every event opens an interval; the SQL of ``interval_join`` takes one in twenty."""
     e = table(spark, d, "events")
     openers = e.select("user_id", F.col("event_id").alias("opener"), F.col("ts").alias("begins"), (F.col("ts") + F.expr("interval 6 hours")).alias("ends"))
     return temporal.interval_join(e.select("event_id", "user_id", "ts"), openers, "user_id", "ts", "begins", "ends", 6 * 3600).select("event_id", "opener")

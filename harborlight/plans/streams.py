@@ -9,6 +9,7 @@ from ..operators import scan
 from ..operators.store import VersionedTable
 from ..storage import shared_dir
 from ..streaming import jobs
+from .domain import _SCAN
 from .fixtures import spark_sql, view
 
 QUERIES: dict = {}
@@ -58,7 +59,7 @@ def stream_dedup(spark, d):
     return drained(jobs.distinct_observations(s, late="4000 days")).groupBy("tenant_id", F.col("run_id").cast("string").alias("run_id"), "observation_type").agg(F.count("*").alias("n"))
 
 
-@register("stream_breaker")
+@register("stream_breaker", f"WITH {_SCAN} SELECT CAST(run_id AS VARCHAR) AS run_id, pos, outcome, CAST(streak AS BIGINT) AS streak, halted_at IS NULL OR pos <= halted_at AS reached FROM h")
 def stream_breaker(spark, d):
     rows = scan.scan_outcome(view(spark, d, "v_scan_event")).select(F.col("run_id").cast("string").alias("run_id"), "pos", "outcome").coalesce(1)
     return drained(jobs.breaker_stream(source(spark, rows)))
