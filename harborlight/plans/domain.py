@@ -534,7 +534,18 @@ def triage_outcomes(spark, d):
     return rows.select("insight_id", out.alias("outcome"))
 
 
-@register("review_fold")
+_REVIEWED = """CASE WHEN trim(coalesce(e.reviewer, '')) = '' THEN 'invalid: no reviewer' WHEN e.outcome = 'adjusted' AND e.recommendation IS NULL THEN 'invalid: an adjustment needs a recommendation'
+  WHEN kev AND e.recommendation = 'lower_priority' THEN 'invalid: hides an exploited finding' WHEN kev AND e.outcome = 'accepted' AND e.own = 'lower_priority' THEN 'invalid: hides an exploited finding'
+  WHEN target = f.to_state AND e.outcome IS NOT DISTINCT FROM f.oc AND e.recommendation IS NOT DISTINCT FROM f.ba THEN 'repeat'
+  WHEN target = 'human_reviewed' AND f.to_state = 'accepted' THEN 'conflict: review is forward-only' ELSE 'applied' END"""
+
+
+@register("review_fold", f"""WITH RECURSIVE e AS (SELECT r.*, i.recommendation AS own, i.kev_locked_visible AS kev, CASE r.outcome WHEN 'accepted' THEN 'accepted' ELSE 'human_reviewed' END AS target,
+    row_number() OVER (PARTITION BY r.insight_id ORDER BY r.occurred_at, r.event_id) AS n FROM v_review r LEFT JOIN v_insight i ON i.insight_id = r.insight_id),
+f AS (SELECT DISTINCT insight_id, own, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, '' AS result, 'proposed' AS from_state, 'proposed' AS to_state, CAST(NULL AS VARCHAR) AS oc, CAST(NULL AS VARCHAR) AS ba FROM e WHERE own IS NOT NULL
+  UNION ALL SELECT insight_id, own, n, event_id, res, st, CASE WHEN res = 'applied' THEN target ELSE st END, CASE WHEN res = 'applied' THEN outcome ELSE oc END, CASE WHEN res = 'applied' THEN recommendation ELSE ba END
+  FROM (SELECT e.insight_id, e.own, e.n, e.event_id, f.to_state AS st, f.oc, f.ba, e.outcome, e.recommendation, e.target, {_REVIEWED} AS res FROM f JOIN e ON e.insight_id = f.insight_id AND e.n = f.n + 1))
+SELECT insight_id, event_id, result, from_state, to_state, coalesce(ba, own) AS recommendation FROM f WHERE n > 0 UNION ALL SELECT insight_id, event_id, 'not found', NULL, NULL, NULL FROM e WHERE own IS NULL""")
 def review_fold(spark, d):
     return triage.fold_reviews(view(spark, d, "v_insight"), view(spark, d, "v_review"))
 
