@@ -60,3 +60,31 @@ def test_stages(spark, data):
     for r in after:
         rows[r.row][r.chunk] = (r.doc_id, r.text)
     assert collections.Counter((p[0][0], "".join(p[c][1] for c in sorted(p))) for p in rows.values()) == collections.Counter((r.doc_id, r.text) for r in before)
+
+
+def test_awkward_documents(spark, tmp_path):
+    """Nulls, empties, repeated rows and ids, long texts, columns of helpers' names, and an empty table, through all stages."""
+    import pyspark.sql.functions as F
+
+    from tests.llm.test_operators import AWKWARD, DOCS
+
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, 1), (4, 1, None)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(AWKWARD, DOCS).withColumns({c: F.lit("mine") for c in ("__row", "row", "chunk", "rate", "kept", "label")})
+    for some, name in ((docs, "odd"), (docs.limit(0), "none")):
+        where = str(tmp_path / name)
+        some.write.parquet(f"{where}/documents.parquet")
+        labels.write.parquet(f"{where}/labels.parquet")
+        rows = spark.read.parquet(f"{where}/documents.parquet")
+        for k, (stage, run) in enumerate(corpus_pipeline.STAGES):
+            before = rows
+            rows = corpus_pipeline.stored(run(spark, rows, where))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert rows.columns == docs.columns, stage
+            if k < 2:
+                assert rows.count() == before.count(), stage
+        assert corpus_pipeline.run(spark, where).count() == rows.count() and (rows.count() > 0) == (name == "odd")
+        whole = collections.defaultdict(dict)
+        for r in rows.collect():
+            whole[r.row][r.chunk] = r.text
+        texts = {r.text or "" for r in before.collect()}
+        assert all("".join(p[c] for c in sorted(p)) in texts for p in whole.values())
