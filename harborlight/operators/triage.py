@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -121,12 +122,16 @@ def parse_reply(reply: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def resolve_path(document: pd.Series, ref: pd.Series) -> pd.Series:
-    """The value at a dotted, indexed path of a JSON document as text; null if there is none. Negative indexes count from the end."""
+    """The value at a dotted, indexed path of a JSON document as text; null if there is none or the document is none. Negative indexes count
+    from the end."""
 
     def one(text, path):
         if text is None or path is None:
             return None
-        node = json.loads(text)
+        try:
+            node = json.loads(text)
+        except ValueError:
+            return None
         path = path.strip().removeprefix("asset.").removeprefix("dossier.")
         if not path:
             return None
@@ -138,7 +143,7 @@ def resolve_path(document: pd.Series, ref: pd.Series) -> pd.Series:
                 node = node[name]
             if bracket:
                 digits = index.rstrip("]")
-                if not isinstance(node, list) or not digits.lstrip("-").isdigit() or not -len(node) <= int(digits) < len(node):
+                if not isinstance(node, list) or not re.fullmatch(r"-?[0-9]+", digits) or not -len(node) <= int(digits) < len(node):
                     return None
                 node = node[int(digits)]
         return node if isinstance(node, str) else json.dumps(node, ensure_ascii=False) if node is not None else None

@@ -208,3 +208,8 @@ def test_dossier_sweep_and_detail(spark, data):
     assert dossier.sweep(bad)[0].count() == 0 and "email-address" in dossier.sweep(bad)[1].first().reason
     page = dossier.detail(rows, domain.QUERIES["asset_findings"](spark, data), domain.QUERIES["asset_timeline"](spark, data), 1, 57)
     assert page["dossier"].first().label
+
+
+def test_paths_of_malformed_documents(spark):
+    rows = spark.createDataFrame([("{", "a"), ('{"a": [1, 2]}', "a[--1]"), ('{"a": [1, 2]}', "a[-1]"), ('{"a": [1, 2]}', "a[x"), (None, "a"), ('"text"', "a.b"), ("{}", "")], "d string, p string")
+    assert [r.v for r in rows.select(triage.resolve_path("d", "p").alias("v")).collect()] == [None, None, "2", None, None, None, None]
