@@ -160,7 +160,7 @@ def exact_topk(
     parts, blocks = max(LEAST_PARTS, -(-n["all"] // PART_ROWS)), max(1, -(-n["asks"] // QUERY_ROWS))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("floor", F.lit(None).cast("double"))
     ends = [parts]
-    while ends[0] > 1:
+    while ends[0] > GROWTH:
         ends.insert(0, -(-ends[0] // GROWTH))
     best, floors = None, None
     for low, high in zip([0, *ends], ends, strict=False):
