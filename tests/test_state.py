@@ -213,3 +213,18 @@ def test_dossier_sweep_and_detail(spark, data):
 def test_paths_of_malformed_documents(spark):
     rows = spark.createDataFrame([("{", "a"), ('{"a": [1, 2]}', "a[--1]"), ('{"a": [1, 2]}', "a[-1]"), ('{"a": [1, 2]}', "a[x"), (None, "a"), ('"text"', "a.b"), ("{}", "")], "d string, p string")
     assert [r.v for r in rows.select(triage.resolve_path("d", "p").alias("v")).collect()] == [None, None, "2", None, None, None, None]
+
+
+def test_breaker_state_goes_after_a_time(spark, tmp_path):
+    """Three files, one per batch: a run's streak is kept while it is heard of, and forgotten once it has been idle."""
+    schema = "run_id string, pos long, outcome string, at timestamp"
+    days = [[("a", 1, "tripped", 1), ("a", 2, "errored", 1)], [("a", 3, "tripped", 1), ("b", 1, "tripped", 9)], [("b", 2, "scanned", 12), ("c", 1, "scanned", 12)], [("a", 4, "tripped", 13)]]
+    for i, rows in enumerate(days):
+        batch = spark.createDataFrame([(r, p, o, f"2024-05-{d:02d} 10:00:00") for r, p, o, d in rows], "run_id string, pos long, outcome string, t string")
+        batch.select("run_id", "pos", "outcome", F.col("t").cast("timestamp").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = jobs.breaker_stream(stream, at="at", idle_hours=24).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        out.trigger(availableNow=True).start().awaitTermination()
+    got = {(r.run_id, r.pos): (r.streak, r.reached) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["a", 2] == (2, True) and got["a", 3] == (3, True) and got["b", 2] == (0, True)
+    assert got["a", 4] == (1, True)  # else the run would be halted
