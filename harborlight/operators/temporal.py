@@ -29,24 +29,34 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[
     return carried.filter("__side = 1").select(*left.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
+def _dealt(left: DataFrame, right: DataFrame, value: Column, low: Column, high: Column, width: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``__level`` and ``__b``, on which they meet: a right row has two buckets or so, however long its range is.
+
+    Buckets of level n are ``width * 2**n`` wide, and a range goes to the level whose buckets are as wide as it is long. A left row
+    goes to its bucket on every level that some range is on (one row, of 64 numbers at most, tells which).
+    """
+    size = lambda level: F.lit(float(width)) * F.pow(F.lit(2.0), level)
+    ranges = right.withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((high - low).cast("double"), F.lit(float(width))) / width))).cast("int"))
+    r = ranges.withColumn("__b", F.explode(F.sequence(F.floor(low / size(F.col("__level"))), F.floor(high / size(F.col("__level"))))))
+    used = F.broadcast(ranges.agg(F.collect_set("__level").alias("__levels")))  # one row
+    l = left.join(used).withColumn("__level", F.explode("__levels")).drop("__levels").withColumn("__b", F.floor(value / size(F.col("__level"))))
+    return l, r
+
+
 def interval_join(left: DataFrame, right: DataFrame, by: str, left_at: str, right_from: str, right_to: str, bucket_seconds: int) -> DataFrame:
     """Left rows inside the right rows' intervals [from, to) of the same key.
 
-    Time is cut into buckets: a right row is given to each bucket its interval touches, so the join is an equi-join on key
-    and bucket and only neighbours are compared.
+    An equi-join on key and buckets of time (of ``bucket_seconds`` and its doubles, see :func:`_dealt`), so only neighbours are compared.
     """
-    sec = lambda c: F.unix_seconds(c.cast("timestamp"))
-    l = left.withColumn("__b", F.floor(sec(F.col(left_at)) / bucket_seconds))
-    spans = F.sequence(F.floor(sec(F.col(right_from)) / bucket_seconds), F.floor(sec(F.col(right_to)) / bucket_seconds))
-    r = right.filter(F.col(right_from) < F.col(right_to)).withColumn("__b", F.explode(spans))
-    return l.join(r, [by, "__b"]).filter((F.col(left_at) >= F.col(right_from)) & (F.col(left_at) < F.col(right_to))).drop("__b")
+    sec = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    l, r = _dealt(left, right.filter(F.col(right_from) < F.col(right_to)), sec(left_at), sec(right_from), sec(right_to), bucket_seconds)
+    return l.join(r, [by, "__level", "__b"]).filter((F.col(left_at) >= F.col(right_from)) & (F.col(left_at) < F.col(right_to))).drop("__level", "__b")
 
 
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
-    """Left rows whose ``value`` lies in [low, high] of a right row, by equi-join on buckets of ``width``."""
-    l = left.withColumn("__b", F.floor(F.col(value) / width))
-    r = right.filter(F.col(low) <= F.col(high)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return l.join(r, "__b").filter(F.col(value).between(F.col(low), F.col(high))).drop("__b")
+    """Left rows whose ``value`` lies in [low, high] of a right row, by equi-join on buckets of ``width`` and its doubles."""
+    l, r = _dealt(left, right.filter(F.col(low) <= F.col(high)), F.col(value), F.col(low), F.col(high), width)
+    return l.join(r, ["__level", "__b"]).filter(F.col(value).between(F.col(low), F.col(high))).drop("__level", "__b")
 
 
 def sessions(events: DataFrame, by: str, at: str, gap: str) -> DataFrame:

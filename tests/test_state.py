@@ -228,3 +228,16 @@ def test_breaker_state_goes_after_a_time(spark, tmp_path):
     got = {(r.run_id, r.pos): (r.streak, r.reached) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["a", 2] == (2, True) and got["a", 3] == (3, True) and got["b", 2] == (0, True)
     assert got["a", 4] == (1, True)  # else the run would be halted
+
+
+def test_ranges_of_any_length(spark):
+    import random
+
+    r = random.Random(4)
+    points = [(i, r.uniform(-1e6, 1e6)) for i in range(300)]
+    ranges = [(i, lo, lo + r.choice([0.0, 0.5, 3.0, 1e3, 1e5, 2e6, 1e12])) for i, lo in enumerate(r.uniform(-1e6, 1e6) for _ in range(200))] + [(900, 5.0, 1.0), (901, None, 1.0)]
+    left, right = spark.createDataFrame(points, "p long, v double"), spark.createDataFrame(ranges, "q long, lo double, hi double")
+    out = temporal.range_join(left, right, "v", "lo", "hi", 1.0)
+    want = {(p, q) for p, v in points for q, lo, hi in ranges if lo is not None and lo <= v <= hi}
+    assert sorted((x.p, x.q) for x in out.collect()) == sorted(want)
+    assert temporal.range_join(left, right.limit(0), "v", "lo", "hi", 1.0).count() == 0
