@@ -91,9 +91,9 @@ def source_kev(spark, d):
     return feeds.read_kev(docs)[0].select("cve_id", "known_ransomware")
 
 
-@register("source_cves", "SELECT cve_id, cvss_score, '3.1' AS cvss_version, 2 AS n_criteria FROM v_cve WHERE cvss_score IS NOT NULL")
+@register("source_cves", "SELECT cve_id, cvss_score, CASE WHEN cvss_score IS NOT NULL THEN '3.1' END AS cvss_version, 2 AS n_criteria FROM v_cve")
 def source_cves(spark, d):
     crit = '{"vulnerable": true, "criteria": "cpe:2.3:a:v:p:*", "versionEndExcluding": "2"}'
-    json = f"""'{{"vulnerabilities": [{{"cve": {{"id": "' || cve_id || '", "metrics": {{"cvssMetricV31": [{{"cvssData": {{"baseScore": ' || CAST(cvss_score AS STRING) || '}}}}]}}, "configurations": [{{"nodes": [{{"cpeMatch": [{crit}, {crit}, {{"criteria": "cpe:2.3:o:x"}}]}}]}}]}}}}, 7]}}'"""
-    good, _ = feeds.read_cves(spark_sql(spark, d, f"SELECT p_partkey AS document_id, {json} AS json FROM v_cve WHERE cvss_score IS NOT NULL"))
+    json = f"""'{{"vulnerabilities": [{{"cve": {{"id": "' || cve_id || '", "metrics": {{' || CASE WHEN cvss_score IS NULL THEN '' ELSE '"cvssMetricV31": [{{"cvssData": {{"baseScore": ' || CAST(cvss_score AS STRING) || '}}}}]' END || '}}, "configurations": [{{"nodes": [{{"cpeMatch": [{crit}, {crit}, {{"criteria": "cpe:2.3:o:x"}}]}}]}}]}}}}, 7]}}'"""
+    good, _ = feeds.read_cves(spark_sql(spark, d, f"SELECT p_partkey AS document_id, {json} AS json FROM v_cve"))
     return good.select("cve_id", "cvss_score", "cvss_version", F.size("cpe_matches").alias("n_criteria"))
