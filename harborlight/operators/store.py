@@ -80,11 +80,14 @@ class VersionedTable:
             raise FileNotFoundError(self.path)
         return self.spark.read.parquet(f"{self.path}/{self._directory(v)}")
 
+    def _write(self, df: DataFrame, path: str) -> None:
+        df.write.partitionBy(*self.partition_by).parquet(path)
+
     def replace(self, df: DataFrame) -> int:
         """Write the next version and make it current. ``df`` may read the current one."""
         v = self.version() + 1
         directory = f"v{v}-{uuid.uuid4().hex}"
-        df.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{directory}")
+        self._write(df, f"{self.path}/{directory}")
         aside, final = self._p(f"_new.{directory}"), self._p(f"_manifest.{v}")
         out = self._fs.create(aside, False)
         out.write(bytearray(directory.encode()))
