@@ -146,13 +146,17 @@ def probability(text: Column) -> Column:
     return F.when(~F.isnan(n) & n.between(0, 1), n)
 
 
-def read_epss(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scores and refusals of snapshots (document_id, text): ``#`` header with model and date, then cve, epss, percentile."""
+def read_epss(documents: DataFrame, max_rows: int | None = MAX_EPSS) -> tuple[DataFrame, DataFrame]:
+    """Scores and refusals of snapshots (document_id, text): ``#`` header with model and date, then cve, epss, percentile.
+
+    A snapshot of more than ``max_rows`` (None: no bound) is refused whole.
+    """
     split = documents.select("document_id", F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n").alias("all"))
     data = F.filter("all", lambda x: (F.btrim(x) != "") & ~x.startswith("#"))
     doc = split.select("document_id", F.element_at("all", 1).alias("head"), data.alias("data"))
     doc = doc.withColumn("columns", F.transform(F.split(F.coalesce(F.try_element_at("data", F.lit(1)), F.lit("")), ","), F.btrim))
-    reason = F.when(~F.array_contains("columns", "cve"), "no 'cve' column").when(F.size("data") < 2, "empty snapshot").when(F.size("data") - 1 > MAX_EPSS, f"more than {MAX_EPSS} rows")
+    reason = F.when(~F.array_contains("columns", "cve"), "no 'cve' column").when(F.size("data") < 2, "empty snapshot")
+    reason = reason if max_rows is None else reason.when(F.size("data") - 1 > max_rows, f"more than {max_rows} rows")
     doc = doc.withColumn("reason", reason)
     header = lambda k: F.when(F.col("head").startswith("#"), F.nullif(F.btrim(F.regexp_extract("head", rf"(?:^#|,){k}:([^,]*)", 1)), F.lit("")))
     rows = doc.filter("reason is null").select("document_id", "columns", F.left(header("model_version"), F.lit(50)).alias("model_version"), F.try_to_timestamp(header("score_date")).alias("scored_at"), F.posexplode(F.slice("data", 2, 2**31 - 2)).alias("pos", "line"))
